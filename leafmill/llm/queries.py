@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, language_id, simhash, toxicity
-from leafmill.llm.common import held_out, table
+from leafmill.llm import bpe, language_id, quality, simhash, token_output, toxicity
+from leafmill.llm.common import held_out, shared_dir, table
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to coded files and read back from them."""
+    to = f"{shared_dir(spark)}/leafmill/{uuid.uuid4().hex}/ids"
+    token_output.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, to)
+    return token_output.read(spark, to)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the verdict of the adaptive quality rules for every document."""
+    return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -37,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op6_language, op8_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op2_toxicity, op3_token_output, op5_quality, op6_language, op8_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
