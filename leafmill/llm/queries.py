@@ -9,10 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, language_id, quality, simhash, token_output, toxicity
+from leafmill.llm import bpe, decontaminate, language_id, line_dedup, quality, simhash, token_output, toxicity
 from leafmill.llm.common import held_out, shared_dir, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text after line dedup, with how many characters it lost."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_before"))
+    return line_dedup.dedup(docs).select("doc_id", "text", (F.col("n_before") - F.length("text")).cast("long").alias("n_removed"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,6 +33,11 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, to)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that share a template window, and whether it is a leak."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and the verdict of the adaptive quality rules for every document."""
     return quality.judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reasons")
@@ -50,7 +61,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_token_output, op5_quality, op6_language, op8_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_output, op4_decontaminate, op5_quality, op6_language, op8_simhash, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
