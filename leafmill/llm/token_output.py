@@ -60,6 +60,9 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a piece
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -67,8 +70,22 @@ class Tokens:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def looked_up(self, plain: list[str], other: list[str]) -> dict[str, bytes]:
+        """What the library makes of words: those of letters alone as one text, each of them one piece."""
+        out = {}
+        for at in range(0, len(plain), 2048):
+            some = plain[at : at + 2048]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(some) and cuts[-1] == len(ids):
+                data = ids.tobytes()
+                out.update({w: data[4 * a : 4 * b] for w, a, b in zip(some, [0, *cuts.tolist()], cuts.tolist())})
+            else:  # small letters of some alphabets hold marks, which are pieces of their own
+                other = other + some
+        for at in range(0, len(other), 512):
+            some = other[at : at + 512]
+            out.update({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False))})
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -77,10 +94,7 @@ class Tokens:
         new = {w for words in split for w in words if w not in known}
         bare = {w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in new}
         look = [w for w in bare if w not in known] + [w for w in (",", ".") if w not in known]
-        for at in range(0, len(look), 512):
-            some = look[at : at + 512]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, "<u4").tobytes()
+        fresh.update(self.looked_up([w for w in look if w.isalpha()], [w for w in look if not w.isalpha()]))
         for w in new:
             if w not in fresh:
                 fresh[w] = (fresh.get(w[:-1]) or known[w[:-1]]) + (fresh.get(w[-1]) or known[w[-1]])
