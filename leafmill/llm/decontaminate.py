@@ -18,6 +18,8 @@ document; rows with a null doc_id or item_id are left out of the pairs, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r\x0B\f]+"), lambda w: w != "")
 
 
+def window_of(size: int) -> Callable[[Column], Column]:
+    """The window of the words ``__w`` that begins at a place. (slice() would copy the whole array each time.)"""
+    return lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(*(F.get("__w", i + k) for k in range(size))).alias("h"))
+
+
 def windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
     """(key, pos, size, h, w): every window's place, length in words and hash.
 
@@ -59,7 +66,7 @@ def windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) ->
         starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
         if whole and size < WINDOW:
             starts = F.when(n == size, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-        hashed.append(F.transform(starts, lambda i, size=size: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(F.slice("__w", i + 1, size)).alias("h"))))
+        hashed.append(F.transform(starts, window_of(size)))
     spread = own.select(key, F.explode_outer(F.concat(*hashed) if len(hashed) > 1 else hashed[0]).alias("x"), *(["__w"] if whole else []))
     taken = spread.where("x is not null")
     extra = [F.slice("__w", F.col("x.pos") + 1, F.col("x.size")).alias("w")] if whole else []

@@ -56,7 +56,7 @@ def chunked(docs: DataFrame, out: str = "__parts") -> DataFrame:
 
     def chunk(end: Column, i: Column) -> Column:
         begin = F.when(i > 0, F.get("__cuts", i - 1)).otherwise(F.lit(0))
-        return F.array_join(F.slice("__lines", begin + 1, end - begin), "")
+        return F.array_join(F.transform(F.sequence(begin, end - 1), lambda k: F.get("__lines", k)), "")  # slice() would copy the array each time
 
     return cuts.withColumn(out, F.transform("__cuts", chunk)).drop("__lines", "__hashes", "__cuts")
 
