@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontaminate, language_id, line_dedup, quality, simhash, token_output, toxicity
+from leafmill.llm import bpe, decontaminate, language_id, line_dedup, pii, quality, secrets, simhash, token_output, toxicity
 from leafmill.llm.common import held_out, shared_dir, table
 
 
@@ -50,18 +50,29 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data in every document."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.hexed(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its score; values only as digests."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every document by the byte-level vocabulary, as digests."""
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_output, op4_decontaminate, op5_quality, op6_language, op8_simhash, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_output, op4_decontaminate, op5_quality, op6_language, op7_pii, op8_simhash, op9_secrets, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
