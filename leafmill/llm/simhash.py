@@ -9,6 +9,10 @@ tallied, pairs with fewer than 5 are dropped and the rest is verified by its
 differing bits. A posting gives a spanning forest of its links, never all pairs;
 one with more than ``BLOCK`` fingerprints is dealt out in pairs of blocks.
 
+That contract links only texts that are almost equal. ``similar`` takes the same
+index to groups of texts of a given similarity: with wider fingerprints, more
+triples of places, and a bound on the differing bits that follows from it.
+
 Equal fingerprints are one node, so exact copies never meet each other. Edge
 cases: null and empty texts, and texts without words, have fingerprint zero and
 are linked like any other; texts of fewer words than a shingle are one shingle.
@@ -17,17 +21,20 @@ are linked like any other; texts of fewer words than a shingle are one shingle.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import common
 from leafmill.llm.components import components
 
 SHINGLE, DISTANCE, BLOCK = 3, 3, 2048
+#: For groups by similarity: shingles of so many words, bytes of a fingerprint, triples of byte places that are posted.
+WIDE_SHINGLE, WIDE, POSTINGS, SIMILARITY = 5, 128, 240, 0.8
 #: The triples of byte places within a half.
 PLACES = [t for half in (range(4), range(4, 8)) for t in itertools.combinations(half, 3)]
 
@@ -115,7 +122,121 @@ def hexed(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; rows without a doc_id stay."""
-    gone = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE) -> bytes:
+    """A SimHash of 8 * WIDE bits over the distinct shingles of a text; zeros if it has no words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return bytes(WIDE)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    windows = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else [words]
+    h = np.array(list({digest(join(t), 42) for t in windows}), np.uint64)
+    ones = np.zeros(8 * WIDE, np.int64)
+    salts = np.arange(1, WIDE // 8 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(h), 255):  # so many fit a byte's count
+        z = h[at : at + 255, None] + salts
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.add.reduce(np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def allowed(similarity: float) -> int:
+    """Differing bits that two texts of this Jaccard similarity have at most, but for one in six of those right at it."""
+    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(8 * WIDE * apart + math.sqrt(8 * WIDE * apart * (1 - apart)))
+
+
+def wide_forest(ids: np.ndarray, fps: np.ndarray, seeds: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Links that join what is within ``distance`` bits: breadth first from every seed, each fingerprint reached once."""
+    left, edges = np.ones(len(ids), bool), []
+    for seed in np.flatnonzero(seeds):
+        queue = [seed] if left[seed] else []
+        left[seed] = False
+        while queue:
+            rest = np.flatnonzero(left)
+            if not len(rest):
+                return edges
+            at = queue.pop()
+            hit = rest[np.bitwise_count(fps[rest] ^ fps[at]).sum(axis=1, dtype=np.int64) <= distance]
+            left[hit] = False
+            edges += [(int(ids[at]), int(ids[x])) for x in hit]
+            queue.extend(hit.tolist())
+    return edges
+
+
+def wide_links(nodes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame:
+    """(u, v): links between the staged ``nodes`` (id, fp) that share a posting and differ in few bits."""
+    spark = nodes.sparkSession
+    places = np.random.default_rng(7).permuted(np.tile(np.arange(WIDE), (POSTINGS, 1)), axis=1)[:, :3]
+
+    def posted(batch: pa.RecordBatch) -> dict:
+        fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE).astype(np.int64)
+        keys = fps[:, places[:, 0]] << 16 | fps[:, places[:, 1]] << 8 | fps[:, places[:, 2]] | np.arange(POSTINGS, dtype=np.int64) << 24
+        offsets = np.arange(len(fps) + 1, dtype=np.int32) * POSTINGS
+        return {"id": batch.column(0), "keys": pa.ListArray.from_arrays(offsets, keys.reshape(-1))}
+
+    postings = common.per_batch(nodes, posted, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
+    centres = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
+    met, _ = common.stage(postings.join(centres, "key"), "met")
+    # each member against the least of its posting; members of a large group meet the same few centres in all postings
+    pairs = met.where("id != centre").select("id", "centre").distinct()
+    bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    longs = nodes.select("id", longs_of("fp").alias("a"))
+    near = pairs.join(longs, "id").join(longs.select(F.col("id").alias("centre"), F.col("a").alias("b")), "centre").where(bits <= distance)
+    near, _ = common.stage(near.select("id", "centre"), "near")
+    # a posting that holds others as well is searched from those
+    flagged = met.where("id != centre").join(near.withColumn("linked", F.lit(True)), ["id", "centre"], "left").select("key", "id", "n", F.col("linked").isNull().alias("seed"))
+    open_keys = flagged.where("seed and n > 2").select("key").distinct()
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    members = flagged.join(open_keys, "key", "left_semi").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.select("key", "id", "seed", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c")).join(nodes, "id")
+    groups = dealt.groupBy("key", F.least("b", "c").alias("lo"), F.greatest("b", "c").alias("hi")).agg(F.collect_list(F.struct("id", "fp", "seed")).alias("m"))
+
+    def work(batch: pa.RecordBatch) -> dict:
+        found = []
+        for m in batch.column(0):
+            rows = {r["id"]: r for r in m.as_py()}
+            fps = np.frombuffer(b"".join(r["fp"] for r in rows.values()), np.uint64).reshape(-1, WIDE // 8)
+            found += wide_forest(np.array(list(rows)), fps, np.array([r["seed"] for r in rows.values()]), distance)
+        u, v = zip(*found) if found else ((), ())
+        return {"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}
+
+    return near.select(F.col("id").alias("u"), F.col("centre").alias("v")).union(common.per_batch(groups.select("m"), work, "u long, v long"))
+
+
+def longs_of(fp: str) -> Column:
+    """A wide fingerprint as an array of longs."""
+    return F.transform(F.sequence(F.lit(0), F.lit(WIDE // 8 - 1)), lambda i: F.conv(F.hex(F.substring(fp, 8 * i + 1, F.lit(8))), 16, -10).cast("long"))
+
+
+def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose five-word shingles have this similarity.
+
+    It is told from fingerprints so wide that their differing bits give it to
+    within a few hundredths. Bytes of such pairs agree in place with a chance of
+    over a quarter, so of ``POSTINGS`` triples of places four or five agree on
+    average; pairs that meet in a posting are verified by all their bits. Rows
+    without a doc_id are left out.
+    """
+    common.prepare(docs.sparkSession)
+
+    def work(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column(0), "fp": pa.array([wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.binary())}
+
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    prints, _ = common.stage(common.per_batch(own, work, "doc_id long, fp binary"), "prints")
+    nodes, _ = common.stage(prints.groupBy("fp").agg(F.min("doc_id").alias("id")).select("id", "fp"), "nodes")
+    # rows that repeat a doc_id with other texts hang together as one document
+    roots, _ = common.stage(components(wide_links(nodes, allowed(similarity))), "roots")
+    placed = prints.join(nodes, "fp").join(roots, F.col("id") == F.col("node"), "left")
+    return placed.select("doc_id", F.coalesce("root", "id").alias("component_id"))
+
+
+def keep(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of similar texts, the one with the smallest doc_id; rows without a doc_id stay.
+
+    Empty texts and texts without words are one group. Rows that repeat a
+    doc_id are one document: all of them stay, or none.
+    """
+    gone, _ = common.stage(similar(docs, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
