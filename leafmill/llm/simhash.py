@@ -35,6 +35,8 @@ from leafmill.llm.components import components
 SHINGLE, DISTANCE, BLOCK = 3, 3, 2048
 #: For groups by similarity: shingles of so many words, bytes of a fingerprint, triples of byte places that are posted.
 WIDE_SHINGLE, WIDE, POSTINGS, SIMILARITY = 5, 128, 240, 0.8
+#: Keys that are sent to every executor; beyond this count they are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 #: The triples of byte places within a half.
 PLACES = [t for half in (range(4), range(4, 8)) for t in itertools.combinations(half, 3)]
 
@@ -73,7 +75,7 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            apart = left ^ at
+            apart = (left ^ at).view(np.uint64)  # of signed numbers, bitwise_count would count those of the absolute value
             tally = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
             near = (tally >= least) & (np.bitwise_count(apart) <= distance)
             if near.any():
@@ -176,17 +178,19 @@ def wide_links(nodes: DataFrame, distance: int, block: int = BLOCK) -> DataFrame
         return {"id": batch.column(0), "keys": pa.ListArray.from_arrays(offsets, keys.reshape(-1))}
 
     postings = common.per_batch(nodes, posted, "id long, keys array<long>").select("id", F.explode("keys").alias("key"))
-    centres = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).where("n > 1")
-    met, _ = common.stage(postings.join(centres, "key"), "met")
+    centres = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre"), F.max("id").alias("last")).where("n > 1")
+    centres, _ = common.stage(centres, "centres")
+    many = centres.where("n > 2").select("key", "n", "centre")  # a posting of two is known by its least and largest
+    met, _ = common.stage(postings.join(F.broadcast(many) if many.count() <= MAX_BROADCAST else many, "key"), "met")
     # each member against the least of its posting; members of a large group meet the same few centres in all postings
-    pairs = met.where("id != centre").select("id", "centre").distinct()
+    pairs = met.select("id", "centre").union(centres.where("n = 2").select("last", "centre")).where("id != centre").distinct()
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     longs = nodes.select("id", longs_of("fp").alias("a"))
     near = pairs.join(longs, "id").join(longs.select(F.col("id").alias("centre"), F.col("a").alias("b")), "centre").where(bits <= distance)
     near, _ = common.stage(near.select("id", "centre"), "near")
     # a posting that holds others as well is searched from those
     flagged = met.where("id != centre").join(near.withColumn("linked", F.lit(True)), ["id", "centre"], "left").select("key", "id", "n", F.col("linked").isNull().alias("seed"))
-    open_keys = flagged.where("seed and n > 2").select("key").distinct()
+    open_keys = flagged.where("seed").select("key").distinct()
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = flagged.join(open_keys, "key", "left_semi").withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = members.select("key", "id", "seed", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("c")).join(nodes, "id")
