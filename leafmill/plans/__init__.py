@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import operations
+from leafmill.plans import documents, operations
 
-PARTS = [operations]
+PARTS = [operations, documents]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
