@@ -87,7 +87,10 @@ def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
     # counts of the distinct are made in two steps, so that a hot entity is added up before it is moved
     contexts = near.groupBy("term", "entity", "context").agg(F.count("*").alias("c")).groupBy("term", "entity").agg(F.count("*").alias("contexts"))
     beside = near.select("term", "entity", "doc_id").distinct().groupBy("term", "entity").agg(F.count("*").alias("together"))
-    joint, _ = common.stage(contexts.where(F.col("contexts") >= MIN_CONTEXTS).join(beside, ["term", "entity"]), "joint")
+    # a term occurs in the documents where it stands beside any entity at least: what is too frequent there needs no count over the corpus
+    anywhere = near.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
+    joint = contexts.where(F.col("contexts") >= MIN_CONTEXTS).join(beside, ["term", "entity"]).join(anywhere, "term").where(F.col("together") >= MIN_CHANCE * F.col("n_beside"))
+    joint, _ = common.stage(joint.drop("n_beside"), "joint")
     terms, _ = common.stage(joint.select("term").distinct(), "terms")
     entities = base.where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = base.count()
