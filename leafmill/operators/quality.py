@@ -68,15 +68,16 @@ def repetition(docs: DataFrame) -> DataFrame:
     A group of up to 6 characters 15 times in the last 600; a sentence of 20 to
     150 characters 5 times among the last 10; 5 of the last 8 numbered items alike.
     """
+    once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  binds a value that a lambda would compute again for each element
+    again = lambda items: F.exists(items, lambda s: F.size(F.filter(items, lambda t: t == s)) >= 5)
+    ending = lambda items, n: F.slice(items, -F.least(F.size(items), F.lit(n)), F.lit(n))
     tail = F.right(tx.squeezed(F.col("text")), F.lit(2500))
     spam = F.right("text", F.lit(600)).rlike(r"(?s)(.{1,6})\1{14,}")
     found = F.filter(F.transform(F.split(tail, r"(?<=[。！？!?.])"), lambda s: F.trim(s)), lambda s: F.length(s).between(20, 150))
-    last = F.slice(found, -F.least(F.size(found), F.lit(10)), F.lit(10))
-    loop = (F.size(found) >= 8) & F.exists(last, lambda s: F.size(F.filter(last, lambda t: t == s)) >= 5)
+    loop = once(found, lambda f: F.when(F.size(f) >= 8, once(ending(f, 10), again)).otherwise(False))
     bodies = F.regexp_extract_all(F.col("text"), F.lit(r"[(（]?[0-9]+[)）.、] ?([^\n]{8,})"), F.lit(1))
-    ends = F.slice(bodies, -F.least(F.size(bodies), F.lit(8)), F.lit(8))
-    same = F.when(F.size(bodies) >= 5, F.exists(ends, lambda s: F.size(F.filter(ends, lambda t: t == s)) >= 5)).otherwise(False)
-    return docs.select("doc_id", spam.alias("char_spam"), F.when(F.size(found) > 0, loop).otherwise(False).alias("sentence_loop"), same.alias("same_body"))
+    same = once(bodies, lambda f: F.when(F.size(f) >= 5, once(ending(f, 8), again)).otherwise(False))
+    return docs.select("doc_id", spam.alias("char_spam"), loop.alias("sentence_loop"), same.alias("same_body"))
 
 
 def images(pairs: DataFrame, key: str, html: str, expected: str) -> DataFrame:
