@@ -25,6 +25,7 @@ an empty folder and no rows. Rows with a null doc_id come first.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 from leafmill.llm import common
 
 MAX_BITS, STRIDE, BLOCK_IDS = 20, 128, 1 << 16
-#: Words whose ids a worker keeps.
-MAX_WORDS = 300_000
+#: Words, and their letters without the marks around them, whose ids a worker keeps (about 250 MB).
+MAX_WORDS, MAX_CORES = 600_000, 600_000
+#: Marks that are split off a word's ends: ASCII, without what begins a contraction or a special token.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 HEAD = struct.Struct("<4sIQIQ")
 NULL_ID = -(1 << 63)
 
@@ -47,10 +50,11 @@ class Tokens:
     """A tokenizer of the tokenizers library, with a memory of words.
 
     The tokenizers here drop white space and never join across it, so a text's
-    ids are those of the stretches between spaces and line feeds. A stretch
-    that isn't known yet is split off a last comma or full stop if letters
-    alone precede it, and what is then unknown goes to the library, many at a
-    time; the end-of-word tokens that close each piece tell the words apart.
+    ids are those of the stretches between spaces and line feeds. From a stretch
+    that isn't known yet the marks at its ends are split off if letters alone
+    stay, and ASCII letters become small, as the tokenizer would make them. What
+    is then unknown goes to the library, many words as one text; the end-of-word
+    tokens that close each piece tell the words apart.
     """
 
     made: dict[str, Tokens] = {}
@@ -60,6 +64,7 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a piece
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -73,8 +78,8 @@ class Tokens:
     def looked_up(self, plain: list[str], other: list[str]) -> dict[str, bytes]:
         """What the library makes of words: those of letters alone as one text, each of them one piece."""
         out = {}
-        for at in range(0, len(plain), 2048):
-            some = plain[at : at + 2048]
+        for at in range(0, len(plain), 8192):
+            some = plain[at : at + 8192]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
@@ -90,30 +95,40 @@ class Tokens:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known, fresh = self.known, {}
-        new = {w for words in split for w in words if w not in known}
-        bare = {w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in new}
-        look = [w for w in bare if w not in known] + [w for w in (",", ".") if w not in known]
-        fresh.update(self.looked_up([w for w in look if w.isalpha()], [w for w in look if not w.isalpha()]))
-        for w in new:
-            if w not in fresh:
-                fresh[w] = (fresh.get(w[:-1]) or known[w[:-1]]) + (fresh.get(w[-1]) or known[w[-1]])
-        room = MAX_WORDS - len(known)
-        if room > 0:
-            known.update(fresh if len(fresh) <= room else dict(list(fresh.items())[:room]))
-        both = known if len(fresh) <= room else _Two(known, fresh)
-        return [b"".join(map(both.__getitem__, words)) for words in split]
-
-
-class _Two(dict):
-    """Look-up in what is kept, then in what this batch alone has."""
-
-    def __init__(self, kept: dict, fresh: dict) -> None:
-        super().__init__(fresh)
-        self.kept = kept
-
-    def __missing__(self, word: str) -> bytes:
-        return self.kept[word]
+        words = set().union(*split)
+        parts = {w: parted(w) for w in words.difference(self.known)}
+        needed = set(itertools.chain.from_iterable(parts.values()))
+        new = needed.difference(self.cores)
+        cores = joined(self.cores, needed - new, self.looked_up([x for x in new if x.isalpha()], [x for x in new if not x.isalpha()]), MAX_CORES)
+        found = {w: cores[a] + cores[b] + cores[c] if a or c else cores[b] for w, (a, b, c) in parts.items()}
+        ids = joined(self.known, words.difference(found), found, MAX_WORDS)
+        return [b"".join(map(ids.__getitem__, stretches)) for stretches in split]
+
+
+def parted(word: str) -> tuple[str, str, str]:
+    """The marks before a word, its letters, and the marks after it; words of another form stay whole, in the middle.
+
+    The letter at the end must be one that stays a letter when it is made small
+    and composed, else its own mark would join those that follow.
+    """
+    core = word.strip(MARKS)
+    if not core.isalpha():
+        return "", word, ""
+    small = core.lower() if core.isascii() else core
+    if len(core) == len(word):
+        return "", small, ""
+    if core[-1] >= "\u0250" or core[-1] == "\u0130":
+        return "", word, ""
+    at = len(word) - len(word.lstrip(MARKS))
+    return word[:at], small, word[at + len(core) :]
+
+
+def joined(kept: dict[str, bytes], old: set[str], fresh: dict[str, bytes], most: int) -> dict[str, bytes]:
+    """What a batch needs: the old words from those a worker keeps, and the fresh ones, which are kept as well while there is room."""
+    out = dict(zip(old, map(kept.__getitem__, old)))
+    out.update(fresh)
+    kept.update(itertools.islice(fresh.items(), max(0, most - len(kept))))
+    return out
 
 
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:

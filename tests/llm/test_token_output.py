@@ -66,3 +66,12 @@ def test_repeated_and_null_ids_and_no_rows(spark, tmp_path):
     assert got == [(False, 0, 2), (True, 2, 3), (True, 5, 3)]
     token_output.write(docs.limit(0), PATH, 2, str(tmp_path / "b"))
     assert token_output.read(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_marks_around_words_are_the_librarys():
+    rng = random.Random(7)
+    pieces = [*"abIJTs SKéİ̇̌ǎßक़ŉ'\".,-<|>_#1² \t\n\x1f Σσ漢", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL"]
+    tokens = token_output.Tokens(PATH)
+    for _ in range(10):
+        texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(15))) for _ in range(400)]
+        assert tokens.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
