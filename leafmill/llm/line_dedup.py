@@ -1,17 +1,19 @@
-"""Line dedup: repeated content-defined chunks of lines are removed, but for their first place.
-
-A text is cut into lines after line feeds and after sentence ends. A chunk ends
-at a line feed, and within a paragraph where a rolling hash over the last two
-lines' hashes meets a condition, so an insertion moves only the boundaries next
-to it. A chunk whose hash occurs more than once in the corpus is compared, byte
-for byte, with that of the first place (least doc_id, then position); where they
-are equal it is removed, if it belongs to a passage of several lines: it has at
-least ``MIN_CHARS`` characters, or the chunk before or after it goes as well.
-All else stays byte for byte.
-
-Only hashes are moved to find repeats, then the texts of repeated chunks alone,
-and at last each text once to meet what is removed from it. Everything is
-DataFrame functions.
+"""Line dedup: passages that stand elsewhere first are removed, wherever in a line they begin and end.
+
+A text is cut into units after line feeds and after sentence ends; blank lines
+belong to the unit before them. A unit of ``LEAST_CHARS`` characters is known by
+its own hash, a shorter one by its hash and the one before it. A unit whose hash
+occurs more than once in the corpus is compared, byte for byte, with that of the
+first place (least doc_id, then position). Consecutive units that are equal to
+earlier ones are a run, and a run goes on into the units beside it for as many
+words as they agree with those beside the first place, if these are
+``LEAST_CHARS`` characters, so passages that begin or end within a sentence are
+found too. A run of ``MIN_CHARS`` characters in all is removed. All else stays
+byte for byte.
+
+Only hashes are moved to find repeats, then the texts of repeated units alone
+and of those beside runs, and at last each text once to meet what is removed
+from it. Everything is DataFrame functions.
 
 Edge cases: null texts stay null, empty ones empty; a text that is removed whole
 becomes empty and its row stays; rows with a null doc_id are left alone; rows
@@ -22,49 +24,37 @@ through, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import common
 
-#: A chunk of this many characters is removed alone; smaller ones only beside another one, and never below the least.
+#: A run of this many characters is removed. Units of fewer than the least are known together with the one before, and shorter edges stay.
 MIN_CHARS, LEAST_CHARS = 120, 20
-#: A line ends a chunk if the rolling hash has these bits zero: every second line, on average.
-MASK = 1
 #: Repeated hashes that are sent to every executor; beyond this count they are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 
 
 def bare(text: Column) -> Column:
-    """A chunk without closing white space."""
+    """A unit without closing white space."""
     return F.rtrim(text, F.lit(" \n\r\t"))
 
 
 def chunked(docs: DataFrame, out: str = "__parts") -> DataFrame:
-    """``docs`` with ``out``: the chunks of ``text``, whose concatenation it is; null for null."""
-    lines = docs.withColumn("__lines", F.split("text", r"(?<=\n)|(?<=[.!?] )"))
-    hashed = lines.withColumn("__hashes", F.transform("__lines", lambda x: F.xxhash64(x)))
-    zero = F.lit(0).cast("long")
-
-    def ends(line: Column, i: Column) -> Column:
-        before = F.when((i > 0) & ~F.get("__lines", i - 1).endswith("\n"), F.get("__hashes", i - 1)).otherwise(zero)
-        rolling = F.shiftleft(before, 1).bitwiseXOR(F.get("__hashes", i))
-        return F.when(line.endswith("\n") | (F.shiftrightunsigned(rolling, 20).bitwiseAND(F.lit(MASK).cast("long")) == 0), i + 1)
+    """``docs`` with ``out``: the units of ``text``, whose concatenation it is; null for null."""
+    return docs.withColumn(out, F.split("text", r"(?<=\n)(?![ \t\r]*\n)|(?<=[.!?] )(?![ \t\r]*\n)"))
 
-    inner = F.filter(F.transform("__lines", ends), lambda x: x.isNotNull())
-    cuts = hashed.withColumn("__cuts", F.array_union(inner, F.array(F.size("__lines"))))
 
-    def chunk(end: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.get("__cuts", i - 1)).otherwise(F.lit(0))
-        return F.array_join(F.transform(F.sequence(begin, end - 1), lambda k: F.get("__lines", k)), "")  # slice() would copy the array each time
-
-    return cuts.withColumn(out, F.transform("__cuts", chunk)).drop("__lines", "__hashes", "__cuts")
+def texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash, __parts) of the rows that take part."""
+    return chunked(docs.where("doc_id is not null and text is not null").select("doc_id", "text")).withColumn("text_hash", F.xxhash64("text"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, no): the chunks to remove, before it is asked which of them stand alone."""
-    own = chunked(docs.where("doc_id is not null and text is not null").select("doc_id", "text")).withColumn("text_hash", F.xxhash64("text"))
-    hashes = own.withColumn("__h", F.transform("__parts", lambda t: F.when(F.length(t) >= LEAST_CHARS, F.xxhash64(bare(t)))))
+    """(doc_id, text_hash, no, size, owner, owner_hash, first): the units that stand elsewhere first, and where."""
+    own = texts(docs).withColumn("__own", F.transform("__parts", lambda t: F.xxhash64(bare(t))))
+    key = lambda t, i: F.when(F.length(t) >= LEAST_CHARS, F.get("__own", i)).when((i > 0) & (bare(t) != ""), F.xxhash64(F.get("__own", i - 1), F.get("__own", i)))
+    hashes = own.withColumn("__h", F.transform("__parts", key)).drop("__own")
     # the outer forms of explode: the plain ones push a filter on the arrays down, and that would compute them once more a place
     counted = hashes.select("doc_id", F.explode_outer("__h").alias("h")).where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"))
     repeated, _ = common.stage(counted.where("n > 1").select("h", "owner"), "repeated")
@@ -72,27 +62,64 @@ def repeats(docs: DataFrame) -> DataFrame:
         repeated = F.broadcast(repeated)
     rows = hashes.select("doc_id", "text_hash", F.posexplode_outer(F.arrays_zip(F.col("__h").alias("h"), F.col("__parts").alias("t"))).alias("no", "c")).select("doc_id", "text_hash", "no", F.col("c.h").alias("h"), F.col("c.t").alias("t")).where("h is not null")
     met, _ = common.stage(rows.join(repeated, "h").withColumn("t", bare(F.col("t"))), "met")
-    starts = met.where("doc_id = owner").groupBy("h").agg(F.min("no").alias("first"))
-    first = met.where("doc_id = owner").join(starts, "h").where("no = first").select("h", F.col("t").alias("owner_t"), "first").distinct()
+    first = met.where("doc_id = owner").groupBy("h").agg(F.min(F.struct("no", "text_hash", "t")).alias("f")).select("h", F.col("f.no").alias("first"), F.col("f.text_hash").alias("owner_hash"), F.col("f.t").alias("owner_t"))
     first, _ = common.stage(first, "first")
     same = met.join(first, "h").where((F.col("t") == F.col("owner_t")) & ((F.col("doc_id") != F.col("owner")) | (F.col("no") != F.col("first"))))
-    return same.select("doc_id", "text_hash", "no", F.length("t").alias("size"))
+    return same.select("doc_id", "text_hash", "no", F.length("t").alias("size"), "owner", "owner_hash", "first")
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, a, b, size, start, end): stretches of consecutive repeated units, with the first places of their outer ones."""
+    once = repeats(docs).repartition("doc_id", "text_hash").dropDuplicates(["doc_id", "text_hash", "no"])
+    apart = once.withColumn("island", F.col("no") - F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("no")))
+    place = F.struct("owner", "owner_hash", "first")
+    return apart.groupBy("doc_id", "text_hash", "island").agg(F.min("no").alias("a"), F.max("no").alias("b"), F.sum("size").alias("size"), F.min_by(place, "no").alias("start"), F.max_by(place, "no").alias("end")).drop("island")
+
+
+def agreed(mine: Column, other: Column, back: bool) -> Column:
+    """How many characters two texts agree in at their beginnings (``back``: their ends), in whole words; 0 below the least."""
+    a, b = (F.split(F.coalesce(x, F.lit("")), " ") for x in (mine, other))
+    if back:
+        a, b = F.reverse(a), F.reverse(b)
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    n = F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
+    space = 0 if back else 1  # the words around a removed passage stay apart by the space before it
+    size = F.least(F.length(F.array_join(F.slice(a, 1, n), " ")) + F.when(n > 0, space).otherwise(0), F.length(mine))
+    return F.coalesce(F.when(size >= LEAST_CHARS, size), F.lit(0))
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, gone): the sorted numbers of the chunks that go, for each document that loses one."""
-    by_doc = repeats(docs).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("no", "size"))).alias("met"))  # a document's chunks at most
-    nos = F.transform("met", lambda x: x["no"])
-    kept = F.filter("met", lambda x: (x["size"] >= MIN_CHARS) | F.array_contains(nos, x["no"] - 1) | F.array_contains(nos, x["no"] + 1))
-    return by_doc.select("doc_id", "text_hash", F.transform(kept, lambda x: x["no"]).alias("gone")).where(F.size("gone") > 0)
+    """(doc_id, text_hash, gone, heads, tails): the units that go, and by number how many characters others lose at their beginning or end."""
+    met, _ = common.stage(runs(docs), "runs")
+    ask = lambda side, doc, text, no: F.struct(F.lit(side).alias("side"), F.col(doc).alias("doc"), F.col(text).alias("hash"), no.cast("int").alias("no"))
+    sides = F.array(ask(0, "doc_id", "text_hash", F.col("a") - 1), ask(1, "start.owner", "start.owner_hash", F.col("start.first") - 1), ask(2, "doc_id", "text_hash", F.col("b") + 1), ask(3, "end.owner", "end.owner_hash", F.col("end.first") + 1))
+    asked = met.where(F.col("size") >= LEAST_CHARS).select("doc_id", "text_hash", "a", F.explode(sides).alias("q")).select("doc_id", "text_hash", "a", "q.*").where("no >= 0")
+    wanted, _ = common.stage(asked.groupBy("doc", "hash").agg(F.collect_set("no").alias("nos")), "wanted")  # a document's units at most
+    if wanted.count() <= MAX_BROADCAST:
+        wanted = F.broadcast(wanted)
+    of = texts(docs).join(wanted, (F.col("doc_id") == F.col("doc")) & (F.col("text_hash") == F.col("hash")))
+    beside = of.select("doc", "hash", F.explode_outer(F.transform("nos", lambda n: F.struct(n.alias("no"), F.get("__parts", n).alias("t")))).alias("x")).select("doc", "hash", "x.no", "x.t").where("t is not null")
+    beside, _ = common.stage(beside.dropDuplicates(["doc", "hash", "no"]), "beside")
+    t = [F.max(F.when(F.col("side") == k, F.col("t"))).alias(f"t{k}") for k in range(4)]
+    edges = asked.join(beside, ["doc", "hash", "no"]).groupBy("doc_id", "text_hash", "a").agg(*t)
+    sized = edges.select("doc_id", "text_hash", "a", agreed(F.col("t0"), F.col("t1"), True).alias("before"), agreed(F.col("t2"), F.col("t3"), False).alias("after"))
+    whole = met.join(sized, ["doc_id", "text_hash", "a"], "left").fillna(0, ["before", "after"]).where(F.col("size") + F.col("before") + F.col("after") >= MIN_CHARS)
+    cut = lambda no, size: F.collect_list(F.when(F.col(size) > 0, F.struct(no.cast("int").alias("no"), F.col(size).alias("size"))))
+    by_doc = whole.groupBy("doc_id", "text_hash").agg(F.collect_list(F.sequence("a", "b")).alias("gone"), cut(F.col("b") + 1, "after").alias("heads"), cut(F.col("a") - 1, "before").alias("tails"))
+    return by_doc.select("doc_id", "text_hash", F.flatten("gone").alias("gone"), F.map_from_entries("heads").alias("heads"), F.map_from_entries("tails").alias("tails"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages removed from ``text``."""
-    gone = removed(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
+    gone = removed(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"), F.col("heads").alias("__heads"), F.col("tails").alias("__tails"))
     met = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left")
     cut = chunked(met.withColumn("__whole", F.col("text")).withColumn("text", F.when(F.col("__gone").isNotNull(), F.col("text"))))
-    left = F.array_join(F.filter("__parts", lambda t, i: ~F.array_contains("__gone", i)), "")
+
+    def rest(t: Column, i: Column) -> Column:
+        head, tail = (F.coalesce(F.element_at(m, i), F.lit(0)) for m in ("__heads", "__tails"))
+        return F.when(F.array_contains("__gone", i), "").otherwise(t.substr(head + 1, F.greatest(F.length(t) - head - tail, F.lit(0))))
+
+    left = F.array_join(F.transform("__parts", rest), "")
     out = cut.withColumn("text", F.when(F.col("__gone").isNotNull(), left).otherwise(F.col("__whole")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -64,3 +64,24 @@ def test_edge_cases(spark):
     assert got[4].text == "" and got[4].n_chars == 0 and got[4]["met.t"] == "z"
     assert got[3].text == long[: len(long) // 2]  # its second line repeats the first
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_passages_within_a_paragraph_go(spark):
+    rng = random.Random(12)
+    shared = "tail of a sentence " + " ".join(passage(rng, 12) + "." for _ in range(4)) + " and the head of another sentence that"
+    rows = [(i, f"{passage(rng, 30)}. {passage(rng, 7)} {shared} {passage(rng, 9)}. {passage(rng, 20)}\n", 0) for i in range(12)]
+    got = text_of(spark, rows)
+    assert got[0].text == rows[0][1]
+    for i, t, _ in rows[1:]:
+        a = t.index(shared)
+        left = t[:a] + t[a + len(shared) :]
+        assert abs(len(got[i].text) - len(left)) <= line_dedup.LEAST_CHARS + 1 and got[i].text.split()[:37] == left.split()[:37]
+
+
+def test_passages_of_short_and_blank_lines_go(spark):
+    rng = random.Random(13)
+    shared = "\n\n".join(passage(rng, 2) for _ in range(20)) + "\n"
+    rows = [(i, passage(rng, 40) + "\n" + shared + passage(rng, 40) + "\n", 0) for i in range(3)]
+    got = text_of(spark, rows)
+    assert got[0].text == rows[0][1]
+    assert all(shared[40:] not in got[i].text and len(got[i].text) < len(rows[i][1]) - len(shared) + 40 for i in (1, 2))
