@@ -3,15 +3,19 @@
 Texts are brought to a canonical form: punctuation goes, letters become small,
 and numbers, units after numbers, and names (capitalised words that don't begin
 a sentence) become typed placeholders. Windows of ``WINDOW`` words are hashed on
-both sides and joined. What a placeholder stands for is a slot: a match holds
-only if each value of the question's slots stands for one value in the document
-throughout, so re-parameterised questions are found and chance matches of
-templates with other fillings are not. Everything is DataFrame functions.
+both sides and joined; windows of the bare words are a second key. Matches of one
+alignment (place in the document less that in the item), and of alignments not
+more than ``GAP`` apart, are an occurrence. What a placeholder stands for is a
+slot: an occurrence holds only if each value of the question's slots stands for
+one value in it throughout, so re-parameterised questions are found and chance
+matches of templates with other fillings are not; one that has all the words of
+the item holds in any case. Each pair is judged by its best occurrence.
+Everything is DataFrame functions.
 
 Edge cases: null and empty texts have no windows; items of fewer words than a
 window give one window of all their words if they have at least ``LEAST``,
-and none below that; windows of which less than half are plain words are left
-out; repeated items are found each; rows that repeat a doc_id count as one
+and none below that; windows of which less than half are plain words are
+matched by their bare words only; repeated items are found each; rows that repeat a doc_id count as one
 document; rows with a null doc_id or item_id are left out of the pairs, and
 ``keep`` keeps such documents. Extra columns are not read.
 """
@@ -20,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm import common
@@ -28,6 +32,8 @@ from leafmill.llm import common
 WINDOW, LEAST = 8, 5
 #: A match is a leak from this share of the item's windows on, or this many windows.
 SHARE, WINDOWS = 0.5, 6
+#: Words that may be put in or left out within an occurrence.
+GAP = 3
 #: Rows of hashes or ids that are sent to every executor; beyond this count they are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
@@ -49,28 +55,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r\x0B\f]+"), lambda w: w != "")
 
 
-def window_of(size: int) -> Callable[[Column], Column]:
-    """The window of the words ``__w`` that begins at a place. (slice() would copy the whole array each time.)"""
-    return lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.xxhash64(*(F.get("__w", i + k) for k in range(size))).alias("h"))
+def window_of(size: int, column: str) -> Callable[[Column], Column]:
+    """The window of the words in ``column`` that begins at a place. (slice() would copy the whole array each time.)"""
+    exact = F.lit(column == "__e")
+    return lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), exact.alias("exact"), F.xxhash64(exact, *(F.get(column, i + k) for k in range(size))).alias("h"))
 
 
 def windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
-    """(key, pos, size, h, w): every window's place, length in words and hash.
+    """(key, pos, size, exact, h, w): every window's place, length in words and hash, of the template and of the bare words.
 
     With ``whole``, a text of fewer words than a window is one window of its own.
     """
-    own = rows.where(F.col(key).isNotNull()).select(key, words(templates(F.col("text"))).alias("__w"))
-    n = F.size("__w")
+    own = rows.where(F.col(key).isNotNull()).select(key, words(templates(F.col("text"))).alias("__w"), words(F.lower(raw(F.col("text")))).alias("__e"))
     hashed = []
     for size in sizes:
-        starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-        if whole and size < WINDOW:
-            starts = F.when(n == size, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-        hashed.append(F.transform(starts, window_of(size)))
-    spread = own.select(key, F.explode_outer(F.concat(*hashed) if len(hashed) > 1 else hashed[0]).alias("x"), *(["__w"] if whole else []))
+        for column in ("__w", "__e"):
+            n = F.size(column)
+            starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
+            if whole and size < WINDOW:
+                starts = F.when(n == size, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+            hashed.append(F.transform(starts, window_of(size, column)))
+    spread = own.select(key, F.explode_outer(F.concat(*hashed)).alias("x"), *(["__w"] if whole else []))
     taken = spread.where("x is not null")
     extra = [F.slice("__w", F.col("x.pos") + 1, F.col("x.size")).alias("w")] if whole else []
-    return taken.select(key, "x.pos", "x.size", "x.h", *extra)
+    return taken.select(key, "x.pos", "x.size", "x.exact", "x.h", *extra)
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -82,7 +90,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, n_slots, consistent, leaked): every pair that shares a window."""
     items = windows(benchmark.select("item_id", "text"), "item_id", list(range(LEAST, WINDOW + 1)), whole=True)
     plain = F.size(F.filter("w", lambda w: ~w.rlike(f"[{NAME}{NUMBER}{UNIT}]")))
-    items, _ = common.stage(items.where(2 * plain >= F.col("size")).drop("w"), "items")
+    items, _ = common.stage(items.where(F.col("exact") | (2 * plain >= F.col("size"))).drop("w"), "items")
     sizes = [r["size"] for r in items.select("size").distinct().collect()] or [WINDOW]  # four at most
     hashes, _ = common.stage(items.select("h").distinct(), "hashes")
     found, _ = common.stage(windows(docs.select("doc_id", "text"), "doc_id", sizes).join(bounded(hashes), "h", "left_semi").distinct(), "found")
@@ -91,18 +99,28 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
     doc_words = own.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", words(templates(F.col("text"))).alias("t"), words(raw(F.col("text"))).alias("d"))
     item_words = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")).select("item_id", words(raw(F.col("text"))).alias("b"))
-    pairs = found.select("doc_id", F.col("pos").alias("at"), "h").join(items.select("item_id", F.col("pos").alias("in"), "size", "h"), "h")
-    met = pairs.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "in", "size")).alias("m"))  # bounded by the item's windows and the document's
+    pairs = found.select("doc_id", F.col("pos").alias("at"), "h").join(items.select("item_id", F.col("pos").alias("in"), "size", "exact", "h"), "h")
+    shift = F.col("at") - F.col("in")
+    by_shift = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    apart = pairs.withColumn("shift", shift).withColumn("new", F.when(F.col("shift") - F.lag("shift").over(by_shift) > GAP, 1).otherwise(0))
+    near = apart.withColumn("near", F.sum("new").over(by_shift))
+    placed = near.withColumn("occurrence", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("shift").cast("long").alias("v")), F.struct(F.lit(1).alias("k"), F.col("near").alias("v")))))
+    met = placed.groupBy("doc_id", "item_id", "occurrence").agg(F.collect_set(F.struct("at", "in", "size", "exact")).alias("m"))  # bounded by the item's windows and the document's
     both = met.join(doc_words, "doc_id").join(item_words, "item_id")
     steps = F.flatten(F.transform("m", lambda x: F.transform(F.sequence(F.lit(0), x["size"] - 1), lambda k: F.struct((x["at"] + k).alias("at"), (x["in"] + k).alias("in")))))
     slots = F.array_distinct(F.transform(F.filter(steps, lambda s: F.get("t", s["at"]).rlike(f"[{NAME}{NUMBER}{UNIT}]")), lambda s: F.struct(F.lower(F.get("b", s["in"])).alias("b"), F.lower(F.get("d", s["at"])).alias("d"))))
-    totals = items.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    counted = both.select("doc_id", "item_id", F.size(F.array_distinct(F.transform("m", lambda x: x["in"]))).cast("long").alias("n_windows"), slots.alias("slots")).join(totals, "item_id")
-    # a value of the question must stand for one value in the document
+    totals = items.groupBy("item_id").agg(F.count_distinct("pos").alias("all_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("pos"))).alias("template_windows"))
+    seen = lambda exact: F.size(F.array_distinct(F.transform(F.filter("m", lambda x: x["exact"] == F.lit(exact)), lambda x: x["in"]))).cast("long")
+    counted = both.select("doc_id", "item_id", seen(False).alias("n_template"), seen(True).alias("n_exact"), slots.alias("slots")).join(totals, "item_id")
+    # a value of the question must stand for one value in the occurrence
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
-    coverage = F.round(F.col("n_windows") / F.col("item_windows"), 6)
-    judged = counted.select("doc_id", "item_id", "n_windows", "item_windows", coverage.alias("coverage"), F.size("slots").cast("long").alias("n_slots"), consistent.alias("consistent"))
-    return judged.withColumn("leaked", F.col("consistent") & ((F.col("coverage") >= SHARE) | (F.col("n_windows") >= WINDOWS)))
+    by_words = (F.col("n_template") == 0) | (F.col("n_exact") * F.col("template_windows") > F.col("n_template") * F.col("all_windows"))
+    n, total = (F.when(by_words, F.col(e)).otherwise(F.col(t)) for e, t in (("n_exact", "n_template"), ("all_windows", "template_windows")))
+    coverage = F.round(n / total, 6)
+    judged = counted.select("doc_id", "item_id", n.alias("n_windows"), total.alias("item_windows"), coverage.alias("coverage"), F.size("slots").cast("long").alias("n_slots"), (consistent | (F.col("n_exact") == F.col("all_windows"))).alias("consistent"))
+    told = judged.withColumn("leaked", F.col("consistent") & ((F.col("coverage") >= SHARE) | (F.col("n_windows") >= WINDOWS)))
+    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("leaked", "coverage", "n_windows", "consistent", "n_slots", "item_windows")).alias("x"))
+    return best.select("doc_id", "item_id", *(f"x.{c}" for c in ("n_windows", "item_windows", "coverage", "n_slots", "consistent", "leaked")))
 
 
 def raw(text: Column) -> Column:

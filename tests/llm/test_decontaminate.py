@@ -40,3 +40,16 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 4), (True, 0)]
     assert decontaminate.keep(docs, items.limit(0)).count() == 6
     assert decontaminate.keep(docs.limit(0), items).count() == 0
+
+
+def test_each_occurrence_is_judged_alone(spark):
+    other = ITEMS[0][1].replace("Denver before", "Turin before").replace("120", "95")
+    got = leaked(spark, [ITEMS[0][1] + " " + FILLER * 3 + other, other + " " + FILLER * 3 + ITEMS[0][1]])
+    assert (0, 1) in got and (1, 1) in got
+
+
+def test_items_of_names_and_numbers_are_found_verbatim(spark):
+    text = "12 7 14 3 88 1 5 2 19 6"
+    items = spark.createDataFrame([(1, text), (2, "The Last Emperor Of Old China")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, FILLER + text + " " + FILLER), (2, "of The Last Emperor Of Old China and"), (3, FILLER + text.replace("14", "15").replace("88", "81"))], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect() if r.leaked} == {(1, 1), (2, 2)}
