@@ -6,6 +6,7 @@ Each function looks at one document; documents are dealt out as Spark reads them
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -121,16 +122,20 @@ def aligned(pairs: DataFrame, least: float = 0.85) -> DataFrame:
 
     def match(outline: list[str], found: list[str]) -> list[int]:
         used, cursor, out = set(), 0, []
+        places: dict[str, list[int]] = {}  # of each title's outline titles that are free
+        for i, title in enumerate(outline):
+            places.setdefault(title, []).append(i)
         for title in found:
-            free = [i for i in range(len(outline)) if i not in used]
-            equal = [i for i in free if outline[i] == title]
-            pick = next((i for i in equal if i >= cursor), equal[0] if equal else -1)
+            equal = places.get(title, [])
+            at = bisect_left(equal, cursor)
+            pick = equal[at] if at < len(equal) else equal[0] if equal else -1
             if pick < 0 and len(title) >= 3:
-                scored = [(ratio(title, outline[i]), -i) for i in free]
+                scored = [(ratio(title, outline[i]), -i) for i in range(len(outline)) if i not in used]
                 best = max(scored, default=(0.0, 0))
                 pick = -best[1] if best[0] >= least else -1
             if pick >= 0:
                 used.add(pick)
+                places[outline[pick]].remove(pick)
                 cursor = max(cursor, pick + 1)
             out.append(pick)
         return out

@@ -239,7 +239,7 @@ def image_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def skeleton_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = lambda c: F.slice(F.transform(F.split(c, "\n"), lambda x: tx.heading_key(x)), 1, 40)
+    keys = lambda c: F.transform(F.split(c, "\n"), lambda x: tx.heading_key(x))
     return documents.aligned(neighbours(spark, sf_dir).select("doc_id", keys("a").alias("outline"), F.reverse(keys("a")).alias("found")))
 
 

@@ -145,3 +145,12 @@ def test_files(spark, tmp_path):
     assert raw.select(files.image_kind(F.col("content")).alias("k")).first().k == "png"
     rows = spark.createDataFrame([("a.doc", 1, "PRO"), ("b.docx", 150 << 20, "FREE"), ("b.docx", 150 << 20, "PRO")], "name string, size long, tier string")
     assert [r.tier for r in files.admitted(rows).collect()] == ["PRO"]
+
+
+def test_skeleton_alignment_covers_every_line(spark):
+    from leafmill.plans.documents import neighbours, skeleton_align
+
+    sf = "/root/testdata/sf0.001"
+    lines = {r.doc_id: r.n for r in neighbours(spark, sf).select("doc_id", F.size(F.split("a", "\n")).alias("n")).collect()}
+    got = {r.doc_id: len(r.matches) for r in skeleton_align(spark, sf).collect()}
+    assert got == lines and max(got.values()) > 40
