@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; texts can be long, so a batch stays far under Spark's default of 10,000 rows.
 BATCH_ROWS = 1024
+#: Rows that are sent to every executor; beyond this count they are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
+#: While a table is staged: shuffle files go as soon as it is written, since nothing reads them again.
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,11 +29,13 @@ def prepare(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder takes its place.
+    It is ``spark.checkpoint.dir``; only where that is unset and the session
+    runs on one machine (tests) a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -42,10 +49,29 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, CLEANUP):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def bounded(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """A staged table of short rows, marked for broadcast if its count allows it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def unstage(spark: SparkSession, path: str) -> None:
     """Remove a staged table that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -15,7 +15,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     every node's larger neighbours, then its smaller ones, below the least of
     them; the edges end as one star a component after about log(n) rounds. Each
     round's edges are written to the shared folder, so lineage stays short. No
-    rows give no rows; nulls and loops are left out.
+    rows give no rows; nulls and loops are left out. If ``rounds`` don't suffice,
+    which no graph of this world should need, it raises.
     """
     spark = edges.sparkSession
     kind = edges.schema["u"].dataType
@@ -35,5 +36,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if sign == (row["n"], row["h"]):
             break
         sign = (row["n"], row["h"])
+    else:
+        raise RuntimeError(f"the components of the graph aren't found after {rounds} rounds")
     assert now.schema["u"].dataType == kind
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())

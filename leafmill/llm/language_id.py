@@ -43,7 +43,6 @@ FAMILIES = {
     "malayo-polynesian": "id ms tl jv",
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs.split()}
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -61,7 +60,7 @@ class Model:
     languages: list[str]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         found = ngrams.hashed(text, ORDERS, BITS)
         margins = self.weights[found].mean(axis=0) + self.intercepts if self.machines else np.zeros(0)
@@ -106,9 +105,9 @@ def fit(texts: list[str], langs: list[str], penalty: float = 0.05) -> Model:
 def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """(text, lang) of about ``size`` documents of each language that aren't held out, chosen by their hashed ids."""
     known = docs.where("lang is not null and text is not null").where(~common.held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n_lang"))
+    counts, _ = common.stage(known.groupBy("lang").agg(F.count("*").alias("n_lang")), "languages")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    return known.join(counts, "lang").where(place * F.col("n_lang") < 1_000_000 * size).select("text", "lang")
+    return known.join(common.bounded(counts), "lang").where(place * F.col("n_lang") < 1_000_000 * size).select("text", "lang")
 
 
 def train(docs: DataFrame, size: int = SAMPLE) -> Model:

@@ -69,8 +69,8 @@ def sample(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE) -
     take = F.lit(False)
     for label, size in sizes.items():
         take |= (F.col("toxic") == label) & (place < int(1_000_000 * min(1.0, size / max(1, counts.get(label, 1)))))
-    chosen = known.where(take)
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
+    chosen, _ = common.stage(known.where(take), "chosen")
+    return docs.select("doc_id", "text").join(common.bounded(chosen), "doc_id").select("text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, sizes: dict[int, int] = SAMPLE) -> Model:
