@@ -97,12 +97,14 @@ def segments(docs: DataFrame) -> DataFrame:
     common.unstage(spark, to)
     common.unstage(spark, at)
     first = met.where("doc_id = owner").groupBy("h").agg(F.min(F.struct("no", "text_hash")).alias("f")).select("h", F.col("f.no").alias("first"), F.col("f.text_hash").alias("owner_hash"))
+    first, places = common.stage(first, "first")  # as a table, so that the join can split the rows of a hot window
     copies = met.join(first.hint("merge"), "h").where("doc_id != owner or no != first").select(*DOC, "no", "m", "owner", "owner_hash", (F.col("no") - F.col("first")).alias("shift"))
     line = [*DOC, "owner", "owner_hash", "shift"]
     island = F.col("no") - F.dense_rank().over(Window.partitionBy(*line).orderBy("no"))
     out = copies.repartition(*DOC).withColumn("island", island).groupBy(*line, "island").agg(F.min(F.col("no") - F.col("m") + 1).alias("a"), F.max("no").alias("b"))
     out, _ = common.stage(out.select(*line, "a", "b"), "segments")
     common.unstage(spark, found)
+    common.unstage(spark, places)
     return out
 
 
@@ -156,6 +158,7 @@ def removed(docs: DataFrame) -> DataFrame:
     texts_of, to = common.stage(pieces(docs, segments(docs)), "pieces")
     place = ["owner", "owner_hash", "c", "d"]
     owned = texts_of.where("owner is null").select(F.col("doc_id").alias("owner"), F.col("text_hash").alias("owner_hash"), "c", "d", F.struct("t", "before", "after").alias("o")).dropDuplicates(place)
+    owned, owners = common.stage(owned, "owned")  # a table for the same reason
     met = texts_of.where("owner is not null").join(owned.hint("merge"), place).where(F.col("t") == F.col("o.t"))
     tail, head = (F.when(F.col(asks), agreed(F.col(c), F.col(f"o.{c}"), c == "before")).otherwise(0) for asks, c in (("opens", "before"), ("closes", "after")))
     same = met.select(*DOC, F.col("no").alias("a"), (F.col("no") + F.col("d") - F.col("c")).alias("b"), "sizes", tail.alias("tail"), head.alias("head"))
@@ -172,8 +175,8 @@ def removed(docs: DataFrame) -> DataFrame:
     cuts = whole.withColumns({"last_b": F.coalesce(F.lag("b").over(line), F.lit(-1)), "last_head": F.coalesce(F.lag("head").over(line), F.lit(0))})
     out = cuts.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("a", "b", "tail", "head", "last_b", "last_head"))).alias("cuts"))
     out, _ = common.stage(out, "removed")
-    common.unstage(docs.sparkSession, to)
-    common.unstage(docs.sparkSession, at)
+    for path in (to, at, owners):
+        common.unstage(docs.sparkSession, path)
     return out
 
 
