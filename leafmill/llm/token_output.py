@@ -28,10 +28,12 @@ from __future__ import annotations
 import itertools
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +65,12 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {"": b""}
         vocabulary = self.library.get_vocab()
+        self.width = "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4"
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that close a piece
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> Tokens:
@@ -80,29 +83,49 @@ class Tokens:
         out = {}
         for at in range(0, len(plain), 8192):
             some = plain[at : at + 8192]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.width)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(some) and cuts[-1] == len(ids):
                 data = ids.tobytes()
-                out.update({w: data[4 * a : 4 * b] for w, a, b in zip(some, [0, *cuts.tolist()], cuts.tolist())})
+                size = ids.itemsize
+                out.update({w: data[size * a : size * b] for w, a, b in zip(some, [0, *cuts.tolist()], cuts.tolist())})
             else:  # small letters of some alphabets hold marks, which are pieces of their own
                 other = other + some
         for at in range(0, len(other), 512):
             some = other[at : at + 512]
-            out.update({w: np.array(e.ids, "<u4").tobytes() for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False))})
+            out.update({w: np.array(e.ids, self.width).tobytes() for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False))})
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        parts = {w: parted(w) for w in words.difference(self.known)}
-        needed = set(itertools.chain.from_iterable(parts.values()))
-        new = needed.difference(self.cores)
-        cores = joined(self.cores, needed - new, self.looked_up([x for x in new if x.isalpha()], [x for x in new if not x.isalpha()]), MAX_CORES)
-        found = {w: cores[a] + cores[b] + cores[c] if a or c else cores[b] for w, (a, b, c) in parts.items()}
-        ids = joined(self.known, words.difference(found), found, MAX_WORDS)
-        return [b"".join(map(ids.__getitem__, stretches)) for stretches in split]
+    def looked_over(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't kept; they are kept as long as there is room, and so are their letters."""
+        parts = [("", w.lower() if w.isascii() else w, "") if w.isalpha() else parted(w) for w in words]
+        new = set(itertools.chain.from_iterable(parts)).difference(self.cores)
+        fresh = self.looked_up([x for x in new if x.isalpha()], [x for x in new if not x.isalpha()])
+        cores = ChainMap(fresh, self.cores) if len(self.cores) >= MAX_CORES else self.cores
+        if cores is self.cores:
+            self.cores.update(fresh)
+        found = {w: cores[a] + cores[b] + cores[c] if a or c else cores[b] for w, (a, b, c) in zip(words, parts)}
+        self.known.update(itertools.islice(found.items(), max(0, MAX_WORDS - len(self.known))))
+        return found
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each with the end id, and how many each text has).
+
+        A batch's words are told apart once; then each word's ids are copied to its places.
+        """
+        stretches = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = stretches.flatten().dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist()
+        known = self.known
+        found = self.looked_over([w for w in names if w not in known])
+        own = pa.array([known[w] if w in known else found[w] for w in names], pa.large_binary()).take(coded.indices)
+        _, offsets, data = own.buffers()
+        size = np.dtype(self.width).itemsize
+        ends = np.frombuffer(offsets, np.int64, len(own) + 1) // size if len(own) else np.zeros(1, np.int64)
+        ids = np.frombuffer(data, self.width, ends[-1]) if ends[-1] else np.zeros(0, self.width)
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(stretches).to_numpy())])]
+        closed = np.insert(ids.astype(np.promote_types(self.width, np.min_scalar_type(end))), bounds[1:], end)
+        return closed, np.diff(bounds) + 1
 
 
 def parted(word: str) -> tuple[str, str, str]:
@@ -123,34 +146,21 @@ def parted(word: str) -> tuple[str, str, str]:
     return word[:at], small, word[at + len(core) :]
 
 
-def joined(kept: dict[str, bytes], old: set[str], fresh: dict[str, bytes], most: int) -> dict[str, bytes]:
-    """What a batch needs: the old words from those a worker keeps, and the fresh ones, which are kept as well while there is room."""
-    out = dict(zip(old, map(kept.__getitem__, old)))
-    out.update(fresh)
-    kept.update(itertools.islice(fresh.items(), max(0, most - len(kept))))
-    return out
-
-
 def tokenised(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(doc_id, n, ids): the ids of every text, the end id last, as little-endian integers of 2 or 4 bytes."""
+    """(doc_id, n, width, ids): the ids of every text, the end id last, as little-endian integers of so many bytes."""
     common.prepare(docs.sparkSession)
 
     def work(batch: pa.RecordBatch) -> dict:
-        close = np.array([end], "<u4").tobytes()
-        found = [x + close for x in Tokens.of(path).encode([t or "" for t in batch.column(1).to_pylist()])]
-        return {"doc_id": batch.column(0).cast(pa.int64()), "n": pa.array([len(x) // 4 for x in found], pa.int64()), "ids": pa.array(map(narrow, found), pa.binary())}
-
-    return common.per_batch(docs.select("doc_id", "text"), work, "doc_id long, n long, ids binary")
-
+        ids, counts = Tokens.of(path).encode(batch.column(1), end)
+        bounds = np.concatenate([[0], np.cumsum(counts)]) * ids.itemsize
+        flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(ids.tobytes())])
+        return {"doc_id": batch.column(0).cast(pa.int64()), "n": pa.array(counts, pa.int64()), "width": pa.array(np.full(len(counts), ids.itemsize, np.int32)), "ids": flat.cast(pa.binary())}
 
-def narrow(ids: bytes) -> bytes:
-    """A width byte, then the ids in 2 bytes each where they fit, else in 4."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\2" + wide.astype("<u2").tobytes() if len(wide) == 0 or wide.max() < 1 << 16 else b"\4" + ids
+    return common.per_batch(docs.select("doc_id", "text"), work, "doc_id long, n long, width int, ids binary")
 
 
-def widen(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u2" if ids[0] == 2 else "<u4", offset=1).astype(np.uint32)
+def widen(ids: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(ids, f"<u{width}").astype(np.uint32)
 
 
 def counted(tokens: DataFrame) -> DataFrame:
@@ -159,15 +169,15 @@ def counted(tokens: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                found = np.bincount(widen(ids.as_py()))
+            for width, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = np.bincount(widen(ids, width))
                 if len(found) > len(total):
                     total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
                 total[: len(found)] += found
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
-    return tokens.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("width", "ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -289,7 +299,7 @@ def write(docs: DataFrame, path: str, end: int, to: str) -> None:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 part = row[0]
-                found = widen(row[2])
+                found = widen(row[3], row[2])
                 if held and held + len(found) > BLOCK_IDS:
                     yield full()
                 doc_ids.append(NULL_ID if row[1] is None else row[1])
@@ -298,8 +308,8 @@ def write(docs: DataFrame, path: str, end: int, to: str) -> None:
         if held:
             yield full()
 
-    dealt = tokens.select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    dealt = tokens.select("doc_id", "width", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = dealt.select(F.spark_partition_id().alias("part"), "doc_id", "width", "ids")
     dealt.mapInArrow(blocks, "part int, block long, n_ids long, before long, payload binary").write.option("compression", "uncompressed").parquet(f"{to}/blocks")
     common.unstage(spark, staged)
 

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from leafmill.llm import token_output
@@ -74,4 +75,18 @@ def test_marks_around_words_are_the_librarys():
     tokens = token_output.Tokens(PATH)
     for _ in range(10):
         texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(15))) for _ in range(400)]
-        assert tokens.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+        ids, counts = tokens.encode(pa.array(texts), 2)
+        want = [[*e.ids, 2] for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_words_beyond_those_that_are_kept(monkeypatch):
+    monkeypatch.setattr(token_output, "MAX_WORDS", 3)
+    monkeypatch.setattr(token_output, "MAX_CORES", 3)
+    tokens = token_output.Tokens(PATH)
+    for _ in range(3):
+        texts = ["alpha beta gamma delta, epsilon!", None, "", "zeta alpha (eta) 12 theta\nbeta"]
+        ids, counts = tokens.encode(pa.array(texts), 70000)
+        want = [[*e.ids, 70000] for e in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+        assert len(tokens.known) <= 3
