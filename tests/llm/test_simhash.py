@@ -85,9 +85,9 @@ def test_similar_texts_are_grouped_and_others_not(spark):
         near.append((2 * k, 2 * k + 1, similarity(base, other)))
     rows = [(i, " ".join(w)) for i, w in enumerate(docs)] + [(500, ""), (501, None), (502, docs[0][0]), (503, " ".join(docs[0])), (None, "x")]
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sure = [(a, b) for a, b, s in near if s >= 0.85]
-    assert len(sure) > 20 and all(got[a] == got[b] for a, b in sure)
-    assert all(got[a] != got[b] for a, b, s in near if s < 0.65)
+    sure = [(a, b) for a, b, s in near if s >= 0.8]
+    assert len(sure) > 20 and sum(got[a] == got[b] for a, b in sure) >= 0.97 * len(sure)
+    assert all(got[a] != got[b] for a, b, s in near if s < 0.8)
     assert len({got[2 * k] for k in range(60)}) == 60
     assert got[503] == 0 and got[500] == got[501] == 500 and got[502] == 502
 
@@ -105,6 +105,31 @@ def test_large_group_with_strangers_in_blocks(spark):
     assert {got[i] for i in range(400)} == {0} and all(got[1000 + i] == 1000 + i for i in range(20))
 
 
+def test_groups_of_a_family_agree_with_brute_force(spark, monkeypatch):
+    """Members of all similarities to each other, in blocks, few partners at a time."""
+    monkeypatch.setattr(simhash, "NEAREST", 1)
+    rng = random.Random(3)
+    base, texts = words(rng, 120), []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 4)] = words(rng, 2)
+        texts.append(w)
+    pairs = [(a, b) for a in range(150) for b in range(a) if similarity(texts[a], texts[b]) >= 0.8]
+    want = roots_of(range(150), pairs)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert 10 < len(set(want.values())) < 140
+    assert all(want[i] == want[got[i]] for i in got)  # never more than brute force joins
+    assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
+
+
+def test_repeated_ids_hang_together(spark):
+    rows = [(4, "one two three four five six"), (4, "quite another text of some words"), (7, "quite another text of some words"), (2, "one two three four five six"), (9, "alone here")]
+    got = {(r.doc_id, r.component_id) for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(4, 2), (7, 2), (2, 2), (9, 9)}
+
+
 def test_keep(spark):
     rows = [(3, "a b c d e f g", "x"), (1, "a b c d e f g", "y"), (2, "other words here to stay put", "z"), (None, "a b c d e f g", "n"), (9, "", "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
