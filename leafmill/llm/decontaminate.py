@@ -15,8 +15,9 @@ Everything is DataFrame functions.
 Edge cases: null and empty texts have no windows; items of fewer words than a
 window give one window of all their words if they have at least ``LEAST``,
 and none below that; windows of which less than half are plain words are
-matched by their bare words only; repeated items are found each; rows that repeat a doc_id count as one
-document; rows with a null doc_id or item_id are left out of the pairs, and
+matched by their bare words only; repeated items are found each; rows that
+repeat a doc_id or item_id are judged each by its own text, and the best result
+is given; rows with a null doc_id or item_id are left out of the pairs, and
 ``keep`` keeps such documents. Extra columns are not read.
 """
 
@@ -88,38 +89,41 @@ def bounded(df: DataFrame) -> DataFrame:
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, n_slots, consistent, leaked): every pair that shares a window."""
-    items = windows(benchmark.select("item_id", "text"), "item_id", list(range(LEAST, WINDOW + 1)), whole=True)
+    # rows that repeat an id are told apart by their texts until the end
+    docs = docs.where("doc_id is not null").select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("doc"), "text")
+    benchmark = benchmark.where("item_id is not null").select(F.struct("item_id", F.xxhash64("text").alias("hash")).alias("item"), "text")
+    items = windows(benchmark, "item", list(range(LEAST, WINDOW + 1)), whole=True)
     plain = F.size(F.filter("w", lambda w: ~w.rlike(f"[{NAME}{NUMBER}{UNIT}]")))
     items, _ = common.stage(items.where(F.col("exact") | (2 * plain >= F.col("size"))).drop("w"), "items")
     sizes = [r["size"] for r in items.select("size").distinct().collect()] or [WINDOW]  # four at most
     hashes, _ = common.stage(items.select("h").distinct(), "hashes")
-    found, _ = common.stage(windows(docs.select("doc_id", "text"), "doc_id", sizes).join(bounded(hashes), "h", "left_semi").distinct(), "found")
+    found, _ = common.stage(windows(docs, "doc", sizes).join(bounded(hashes), "h", "left_semi").distinct(), "found")
     # the words of both sides, for the few documents that matched
-    ids, _ = common.stage(found.select("doc_id").distinct(), "ids")
-    own = docs.select("doc_id", "text").join(bounded(ids), "doc_id", "left_semi")
-    doc_words = own.groupBy("doc_id").agg(F.max("text").alias("text")).select("doc_id", words(templates(F.col("text"))).alias("t"), words(raw(F.col("text"))).alias("d"))
-    item_words = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")).select("item_id", words(raw(F.col("text"))).alias("b"))
-    pairs = found.select("doc_id", F.col("pos").alias("at"), "h").join(items.select("item_id", F.col("pos").alias("in"), "size", "exact", "h"), "h")
+    ids, _ = common.stage(found.select("doc").distinct(), "ids")
+    own = docs.join(bounded(ids), "doc", "left_semi")
+    doc_words = own.groupBy("doc").agg(F.max("text").alias("text")).select("doc", words(templates(F.col("text"))).alias("t"), words(raw(F.col("text"))).alias("d"))
+    item_words = benchmark.groupBy("item").agg(F.max("text").alias("text")).select("item", words(raw(F.col("text"))).alias("b"))
+    pairs = found.select("doc", F.col("pos").alias("at"), "h").join(items.select("item", F.col("pos").alias("in"), "size", "exact", "h"), "h")
     shift = F.col("at") - F.col("in")
-    by_shift = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    by_shift = Window.partitionBy("doc", "item").orderBy("shift")
     apart = pairs.withColumn("shift", shift).withColumn("new", F.when(F.col("shift") - F.lag("shift").over(by_shift) > GAP, 1).otherwise(0))
     near = apart.withColumn("near", F.sum("new").over(by_shift))
     placed = near.withColumn("occurrence", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("shift").cast("long").alias("v")), F.struct(F.lit(1).alias("k"), F.col("near").alias("v")))))
-    met = placed.groupBy("doc_id", "item_id", "occurrence").agg(F.collect_set(F.struct("at", "in", "size", "exact")).alias("m"))  # bounded by the item's windows and the document's
-    both = met.join(doc_words, "doc_id").join(item_words, "item_id")
+    met = placed.groupBy("doc", "item", "occurrence").agg(F.collect_set(F.struct("at", "in", "size", "exact")).alias("m"))  # bounded by the item's windows and the document's
+    both = met.join(doc_words, "doc").join(item_words, "item")
     steps = F.flatten(F.transform("m", lambda x: F.transform(F.sequence(F.lit(0), x["size"] - 1), lambda k: F.struct((x["at"] + k).alias("at"), (x["in"] + k).alias("in")))))
     slots = F.array_distinct(F.transform(F.filter(steps, lambda s: F.get("t", s["at"]).rlike(f"[{NAME}{NUMBER}{UNIT}]")), lambda s: F.struct(F.lower(F.get("b", s["in"])).alias("b"), F.lower(F.get("d", s["at"])).alias("d"))))
-    totals = items.groupBy("item_id").agg(F.count_distinct("pos").alias("all_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("pos"))).alias("template_windows"))
+    totals = items.groupBy("item").agg(F.count_distinct("pos").alias("all_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("pos"))).alias("template_windows"))
     seen = lambda exact: F.size(F.array_distinct(F.transform(F.filter("m", lambda x: x["exact"] == F.lit(exact)), lambda x: x["in"]))).cast("long")
-    counted = both.select("doc_id", "item_id", seen(False).alias("n_template"), seen(True).alias("n_exact"), slots.alias("slots")).join(totals, "item_id")
+    counted = both.select("doc", "item", seen(False).alias("n_template"), seen(True).alias("n_exact"), slots.alias("slots")).join(totals, "item")
     # a value of the question must stand for one value in the occurrence
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["b"])))
     by_words = (F.col("n_template") == 0) | (F.col("n_exact") * F.col("template_windows") > F.col("n_template") * F.col("all_windows"))
     n, total = (F.when(by_words, F.col(e)).otherwise(F.col(t)) for e, t in (("n_exact", "n_template"), ("all_windows", "template_windows")))
     coverage = F.round(n / total, 6)
-    judged = counted.select("doc_id", "item_id", n.alias("n_windows"), total.alias("item_windows"), coverage.alias("coverage"), F.size("slots").cast("long").alias("n_slots"), (consistent | (F.col("n_exact") == F.col("all_windows"))).alias("consistent"))
+    judged = counted.select("doc", "item", n.alias("n_windows"), total.alias("item_windows"), coverage.alias("coverage"), F.size("slots").cast("long").alias("n_slots"), (consistent | (F.col("n_exact") == F.col("all_windows"))).alias("consistent"))
     told = judged.withColumn("leaked", F.col("consistent") & ((F.col("coverage") >= SHARE) | (F.col("n_windows") >= WINDOWS)))
-    best = told.groupBy("doc_id", "item_id").agg(F.max(F.struct("leaked", "coverage", "n_windows", "consistent", "n_slots", "item_windows")).alias("x"))
+    best = told.groupBy("doc.doc_id", "item.item_id").agg(F.max(F.struct("leaked", "coverage", "n_windows", "consistent", "n_slots", "item_windows")).alias("x"))
     return best.select("doc_id", "item_id", *(f"x.{c}" for c in ("n_windows", "item_windows", "coverage", "n_slots", "consistent", "leaked")))
 
 

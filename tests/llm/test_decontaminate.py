@@ -53,3 +53,12 @@ def test_items_of_names_and_numbers_are_found_verbatim(spark):
     items = spark.createDataFrame([(1, text), (2, "The Last Emperor Of Old China")], "item_id long, text string")
     docs = spark.createDataFrame([(1, FILLER + text + " " + FILLER), (2, "of The Last Emperor Of Old China and"), (3, FILLER + text.replace("14", "15").replace("88", "81"))], "doc_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect() if r.leaked} == {(1, 1), (2, 2)}
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(spark):
+    twisted = ITEMS[0][1].replace("Denver before", "Turin before")
+    for rows in ([(1, twisted), (1, FILLER)], [(1, FILLER + FILLER), (1, twisted)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        items = spark.createDataFrame([*ITEMS, (1, "Another question that carries the same number as the first one does here.")], "item_id long, text string")
+        got = [r for r in decontaminate.matches(docs, items).collect() if (r.doc_id, r.item_id) == (1, 1)]
+        assert len(got) == 1 and got[0].n_slots > 0 and not got[0].leaked
