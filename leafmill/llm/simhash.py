@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -156,10 +158,14 @@ def angle(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def allowed(similarity: float) -> int:
-    """Differing bits that hardly any pair of this similarity exceeds: four deviations beyond the mean, that of the shortest texts."""
-    apart = max(angle(similarity), SHORTEST)
-    return int(8 * WIDE * apart + 4 * math.sqrt(8 * WIDE * apart * (1 - apart)))
+def allowed(similarity: float, n: Any, least: Callable = np.minimum, root: Callable = np.sqrt) -> Any:
+    """Differing bits that hardly any pair of this similarity exceeds, n shingles being in the smaller text: four deviations beyond the mean.
+
+    With the functions of Spark for ``least`` and ``root``, n is a column.
+    """
+    base = angle(similarity)
+    apart = base + max(SHORTEST - base, 0.0) * least(5 / n, n * 0 + 1)
+    return 8 * WIDE * apart + 4 * root(8 * WIDE * apart * (1 - apart))
 
 
 def triples(n: int, similarity: float) -> np.ndarray:
@@ -209,7 +215,7 @@ def close(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     bits = F.aggregate(F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     own = nodes.select("node", longs_of("fp").alias("a"), "n")
     both = pairs.join(own.select(F.col("node").alias("u"), "a", "n"), "u").join(own.select(F.col("node").alias("v"), F.col("a").alias("b"), F.col("n").alias("m")), "v")
-    return both.where((F.least("n", "m") >= similarity * F.greatest("n", "m")) & (bits <= allowed(similarity))).select("u", "v")
+    return both.where((F.least("n", "m") >= similarity * F.greatest("n", "m")) & (bits <= allowed(similarity, F.greatest(F.least("n", "m"), F.lit(1)).cast("double"), F.least, F.sqrt))).select("u", "v")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -236,7 +242,8 @@ def nearest(seeds: np.ndarray, nodes: np.ndarray, labels: np.ndarray, fps: np.nd
     found: list[tuple[int, int | None]] = []
     for x in seeds:
         apart = np.bitwise_count(fps ^ fps[x]).sum(axis=1, dtype=np.int64)
-        fits = (labels != labels[x]) & (apart <= allowed(similarity)) & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x]))
+        less = np.minimum(sizes, sizes[x])
+        fits = (labels != labels[x]) & (apart <= allowed(similarity, np.maximum(less, 1))) & (less >= similarity * np.maximum(sizes, sizes[x]))
         at = np.flatnonzero(fits)
         if len(at) > most:
             at = at[np.argsort(apart[at], kind="stable")[:most]]
@@ -291,13 +298,14 @@ def wide_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
         found, _ = common.stage(crossing(met, labels, nodes, similarity, most), "crossing")
         fresh = found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
         fresh, _ = common.stage(fresh, "fresh")
-        stale = not fresh.isEmpty()
-        if stale:
-            links = links.union(verified(fresh, nodes, docs, similarity, shingle))
-            tested = tested.union(fresh)
-        elif found.where("v is null").isEmpty():
+        stale = False
+        if not fresh.isEmpty():
+            more = verified(fresh, nodes, docs, similarity, shingle)
+            tested, stale = tested.union(fresh), not more.isEmpty()
+            links = links.union(more)
+        if not stale and found.where("v is null").isEmpty():
             return links
-        most *= 8
+        most *= 64
 
 
 def similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE) -> DataFrame:
