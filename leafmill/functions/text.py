@@ -132,7 +132,7 @@ def classified(text: Column, rules: dict[str, list[str]], other: str) -> Column:
     """The first rule one of whose words the text holds."""
     out = F.lit(other)
     for name, words in reversed(rules.items()):
-        out = F.when(reduce(lambda a, b: a | b, (F.lower(text).contains(w) for w in words)), name).otherwise(out)
+        out = F.when(reduce(lambda a, b: a | b, (text.contains(w) for w in words)), name).otherwise(out)
     return out
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import documents, operations
+from leafmill.plans import documents, operations, rules
 
-PARTS = [operations, documents]
+PARTS = [operations, documents, rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
