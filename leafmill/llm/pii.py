@@ -73,8 +73,12 @@ def base_spans(docs: DataFrame) -> DataFrame:
     )
 
     def around(s: Column) -> Column:
-        begin = F.greatest(s["start"] - AROUND, F.lit(0))
-        context = F.concat_ws(" ", F.substring("text", begin + 1, s["start"] - begin), F.substring("text", s["end"] + 1, F.lit(AROUND)))
+        # one character more to each side shows whether the outermost word is cut; the rest of such a word goes
+        begin = F.greatest(s["start"] - AROUND - 1, F.lit(0))
+        left, right = F.substring("text", begin + 1, s["start"] - begin), F.substring("text", s["end"] + 1, F.lit(AROUND + 1))
+        left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
+        right = F.when(F.length(right) > AROUND, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
+        context = F.concat_ws(" ", left, right)
         return F.struct(F.lower(s["value"]).alias("entity"), F.lower(context).alias("context"))
 
     return found.select("doc_id", "text_hash", *KINDS, F.transform(F.concat(*KINDS), around).alias("entities"))

@@ -43,6 +43,8 @@ def test_language_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (4, "123 !?", "en"), (5, "words", None)], "doc_id long, text string, lang string")
     rows = language_id.predict(docs, language_id.train(docs)).collect()
     assert [(r.lang_pred, r.score) for r in rows[:3]] == [("und", 0.0)] * 3
+    model = language_id.train(docs)
+    assert [model.predict(t)[0] for t in ("\u00b2", "\u00bd", "\u2163", "_ 7", "\u00e9")] == ["und", "und", "und", "und", "en"]  # numbers aren't letters
     empty = language_id.train(docs.limit(0))
     assert language_id.predict(docs, empty).where("lang_pred = 'und'").count() == 4
 

@@ -65,6 +65,11 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_that_do_not_converge_raise(spark):
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(50)], "u long, v long"), rounds=1)
+
+
 def words(rng, n):
     return [rng.choice("alder birch cedar elm fir gum hazel ivy juniper kapok larch maple".split()) + str(rng.randrange(500)) for _ in range(n)]
 

@@ -68,3 +68,13 @@ def test_secrets(spark):
     for r in rows:
         assert texts[r.doc_id][r.start : r.end] == r.value
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+def test_words_cut_at_the_edge_of_the_surroundings_are_no_terms(spark):
+    """A word whose stump is another word doesn't count as that word."""
+    pad = "xx " * 15
+    rows = [(i, f"superstanzacrown {'yy ' * k}{pad}mail {i % 2}user@host.example {pad}") for i, k in enumerate(range(8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = pii.base_spans(docs)
+    words = {w for r in base.collect() for e in r.entities for w in e.context.split()}
+    assert words and not any(w != "superstanzacrown" and "superstanzacrown".endswith(w) for w in words)
