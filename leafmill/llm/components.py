@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from leafmill.llm import common
 
 
+def signed(edges: DataFrame) -> tuple:
+    """Count and sum of hashes, by which two states of the edges are told apart."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of an edge: ``root`` is the smallest node that it reaches.
 
@@ -22,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     kind = edges.schema["u"].dataType
     now = edges.where("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, path = common.stage(now, "edges")
-    sign = None
+    seen = signed(now)
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -32,10 +37,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         after, to = common.stage(small, "edges")
         common.unstage(spark, path)
         now, path = after, to
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if sign == (row["n"], row["h"]):
+        before, seen = seen, signed(now)
+        if seen == before:
             break
-        sign = (row["n"], row["h"])
     else:
         raise RuntimeError(f"the components of the graph aren't found after {rounds} rounds")
     assert now.schema["u"].dataType == kind

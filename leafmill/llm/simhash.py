@@ -281,7 +281,7 @@ def crossing(met: DataFrame, labels: DataFrame, nodes: DataFrame, similarity: fl
 
 
 def wide_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = WIDE_SHINGLE, most: int = NEAREST) -> DataFrame:
-    """(u, v): links between the staged ``nodes`` that keep every component whole; each is verified by the shingles themselves.
+    """(u, v): each of the staged ``nodes`` with the least node of its component, as links verified by the shingles themselves join them.
 
     Each member of a posting is held against the least of it. What stays apart is
     then held against its nearest of other components, and if these fail against
@@ -295,6 +295,7 @@ def wide_links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY
     while True:
         if stale:
             labels, _ = common.stage(components(links), "labels")
+            links = labels.select(F.col("node").alias("u"), F.col("root").alias("v"))  # the same components in fewer rows
         found, _ = common.stage(crossing(met, labels, nodes, similarity, most), "crossing")
         fresh = found.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
         fresh, _ = common.stage(fresh, "fresh")
