@@ -39,7 +39,7 @@ SHINGLE, DISTANCE, BLOCK = 3, 3, 2048
 #: For groups by similarity: shingles of so many words, bytes of a fingerprint.
 WIDE_SHINGLE, WIDE, SIMILARITY = 5, 128, 0.8
 #: Postings in which a pair right at the similarity meets on average, postings cut at a time, partners that are tried first.
-MEETINGS, PASS, NEAREST = 4.7, 60, 4
+MEETINGS, PASS, NEAREST = 4.7, 64, 4
 #: Share of bits in which texts of five shingles differ of which one has four (the most at 0.8, as ties count as zero).
 SHORTEST = 3 / 16
 #: Keys that are sent to every executor; beyond this count they are joined by a shuffle.
