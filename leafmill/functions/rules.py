@@ -28,7 +28,7 @@ PRICES = {"plus_monthly": (499, 30), "plus_yearly": (4999, 365), "pro_monthly":
 SECRET_FIELDS = ["password", "passwordHash", "token", "authorization", "cookie"]
 
 
-def trimmed(text: Column) -> Column:
+def trimmed(text: Column | str) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import documents, operations, rules
+from leafmill.plans import documents, operations, outlines, rules
 
-PARTS = [operations, documents, rules]
+PARTS = [operations, documents, rules, outlines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
