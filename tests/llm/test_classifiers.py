@@ -1,6 +1,8 @@
 """Toxicity, language, quality and the fits behind them: held-out accuracy, plain versions, edge cases."""
 
+import math
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -72,3 +74,49 @@ def test_quality_keeps_most_and_drops_outliers(spark):
     assert all(got[i].kept for i in range(300))
     assert not got[900].kept and got[900].reasons and got[901].base_failed and not got[902].kept and not got[903].kept
     assert quality.judged(docs.limit(0)).count() == 0
+
+
+def test_quality_bounds_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MIN_ROWS", 40)  # so that pairs, languages and all documents give bounds
+    docs = common.table(spark, SF, "documents").withColumn("source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source"))).withColumn("kept", F.lit("x"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 50 == 1, F.lit(None)).otherwise(F.col("lang")))
+    growth = math.log(1.01 / 0.99)
+    texts, groups = docs.collect(), defaultdict(list)
+    measures = {}
+    for r in texts:
+        w, ch, sy, li, du, re_ = plain_counts_fast(r.text)
+        if w >= 50 and 100 * re_ <= 50 * w:
+            found = {"symbol_share": sy / ch, "dup_line_share": du / li, "repeat_share": re_ / w, "word_length": ch / w}
+            measures[r.doc_id] = found
+            for key in ((r.lang, r.source), r.lang, "all"):
+                groups[key].append(found)
+
+    def quantile(key, measure, q):
+        buckets = sorted(math.ceil(math.log(m[measure]) / growth) if m[measure] >= 1e-4 else -math.inf for m in groups[key])
+        at = buckets[max(math.ceil(q * len(buckets)), 1) - 1]
+        return 0.0 if at == -math.inf else 2 * math.exp(growth * at) / (1.01 / 0.99 + 1)
+
+    def fits(key, found):
+        for measure, tail, least in quality.BOUNDS.values():
+            middle = quantile(key, measure, 0.5)
+            away = max(12 * abs(quantile(key, measure, tail) - middle), least)
+            if found[measure] > middle + away if tail > 0.5 else found[measure] < middle - away:
+                return False
+        return True
+
+    levels = {r.doc_id: next((k for k in ((r.lang, r.source), r.lang) if len(groups[k]) >= 40), "all") for r in texts}
+    want = {r.doc_id: r.doc_id in measures and fits(levels[r.doc_id], measures[r.doc_id]) for r in texts}
+    assert {type(k) for k in levels.values()} >= {tuple, str} and "all" in levels.values()
+    for parts in (3, 17):
+        assert {r.doc_id: r.kept for r in quality.judged(docs.repartition(parts)).collect()} == want
+
+
+def plain_counts_fast(text):
+    """As ``plain_counts``, for whole documents."""
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    windows, seen = list(zip(words, words[1:], words[2:])), defaultdict(int)
+    for w in windows:
+        seen[w] += 1
+    hit = {i + k for i, w in enumerate(windows) if seen[w] > 1 for k in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines), len(lines) - len(set(lines)), len(hit)
