@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Documents a period, by tier; content characters; plan amounts and days.
@@ -59,11 +59,21 @@ def quota(users: DataFrame, log: DataFrame, action: str) -> DataFrame:
 
 
 def refundable(orders: DataFrame, log: DataFrame, action: str) -> DataFrame:
-    """(id, later_uses, refundable): a paid order may be refunded if its user did nothing at or after its time."""
-    uses = log.where(F.col("action") == action).select(F.col("user_id").alias("of"), F.col("ts").alias("used_at"))
-    paid = orders.where("status = 'PAID'")
-    joined = paid.join(uses, (F.col("user_id") == F.col("of")) & (F.col("used_at") >= F.col("ts")), "left")
-    return joined.groupBy("id").agg(F.count("used_at").alias("later_uses")).withColumn("refundable", F.col("later_uses") == 0)
+    """(id, later_uses, refundable): a paid order may be refunded if its user did nothing at or after its time.
+
+    Uses of later days come from running totals of a user's days, so only the
+    orders and uses of one user on one day ever meet.
+    """
+    day = F.to_date("ts").alias("day")
+    uses = log.where((F.col("action") == action) & F.col("ts").isNotNull()).select(F.col("user_id").alias("of"), day, F.col("ts").alias("used_at"))
+    paid = orders.where("status = 'PAID'").select("id", F.col("user_id").alias("of"), day, "ts")
+    days = uses.groupBy("of", "day").agg(F.count("*").alias("n")).union(paid.select("of", "day", F.lit(0).cast("long")).distinct())
+    later = Window.partitionBy("of").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    after = days.groupBy("of", "day").agg(F.sum("n").alias("n")).select("of", "day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
+    same = paid.join(uses, ["of", "day"]).where("used_at >= ts").groupBy("id").agg(F.count("*").alias("same"))
+    total = (F.coalesce("after", F.lit(0)) + F.coalesce("same", F.lit(0))).cast("long")
+    counted = paid.join(after, ["of", "day"], "left").join(same, "id", "left").select("id", total.alias("later_uses"))
+    return counted.withColumn("refundable", F.col("later_uses") == 0)
 
 
 def reconciled(orders: DataFrame, now: str) -> DataFrame:

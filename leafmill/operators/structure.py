@@ -21,11 +21,11 @@ def counts(html: Column) -> list[Column]:
     """The structural counts of HTML: paragraphs, headings, list items, images, tables, characters."""
     n = lambda pattern: F.regexp_count(html, F.lit(pattern)).cast("long")
     return [
-        n(r"(?i)<p[ >]").alias("paragraphs"),
-        (n(r"(?i)<h[1-6][ >]") - n(r"(?i)<h[1-6][^>]*doc-title")).alias("headings"),
-        F.greatest(n(r"(?i)<li[ >]"), n(r"[(（][0-9]+[)）]")).alias("items"),
-        (n(r"(?i)<img[ >]") + n("__IMG_[0-9]+__")).alias("images"),
-        n(r"(?i)<table[ >]").alias("tables"),
+        n(r"(?i)<p\b").alias("paragraphs"),
+        (n(r"(?i)<h[1-6]\b[^>]*>") - n(r"(?i)<h[1-6]\b[^>]*doc-title[^>]*>")).alias("headings"),
+        F.greatest(n(r"(?i)<li\b"), n(r"[(（]\s*[0-9]+\s*[)）]")).alias("items"),
+        (n(r"(?i)<img\b") + n("__IMG_[0-9]+__")).alias("images"),
+        n(r"(?i)<table\b").alias("tables"),
         F.length(tx.compact(html)).cast("long").alias("chars"),
     ]
 

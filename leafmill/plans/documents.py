@@ -57,7 +57,7 @@ def n(x: str, pattern: str) -> str:
 
 
 def counts(x: str) -> str:
-    return f"{n(x, '(?i)<p[ >]')} AS paragraphs, {n(x, '(?i)<h[1-6][ >]')} - {n(x, '(?i)<h[1-6][^>]*doc-title')} AS headings, greatest({n(x, '(?i)<li[ >]')}, {n(x, '[(（][0-9]+[)）]')}) AS items, {n(x, '(?i)<img[ >]')} + {n(x, '__IMG_[0-9]+__')} AS images, {n(x, '(?i)<table[ >]')} AS tables, length({compact(x)}) AS chars"
+    return rf"{n(x, r'(?i)<p\b')} AS paragraphs, {n(x, r'(?i)<h[1-6]\b[^>]*>')} - {n(x, r'(?i)<h[1-6]\b[^>]*doc-title[^>]*>')} AS headings, greatest({n(x, r'(?i)<li\b')}, {n(x, r'[(（]\s*[0-9]+\s*[)）]')}) AS items, {n(x, r'(?i)<img\b')} + {n(x, '__IMG_[0-9]+__')} AS images, {n(x, r'(?i)<table\b')} AS tables, length({compact(x)}) AS chars"
 
 
 @query(f"SELECT page_id, {counts('html')} FROM pages")

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from leafmill.functions import outlines as rules
-from leafmill.operators import outlines
+from leafmill.operators import billing, outlines, structure
 
 
 def values(spark, column, *texts):
@@ -56,3 +56,17 @@ def test_skeleton_and_titles(spark):
     kept = outlines.single_title(df.withColumn("level", F.col("level").cast("int")))
     assert [(r.pos, r.level) for r in kept.orderBy("pos").collect()] == [(0, 1), (1, 2), (3, 0), (4, 2), (5, 9), (6, 2)]
     assert outlines.last_headings(df.where("pos < 3"), n=2).first().headings == "1. Chapter -> title"
+
+
+def test_counts_of_odd_tags(spark):
+    df = spark.createDataFrame([("<p\n>a</p><img/><li>( 3 )（4）<pre><table\tx><h2 class='doc-title'>t</h2><h3>u</h3>",)], "html string")
+    row = df.select(*structure.counts(F.col("html"))).first()
+    assert (row.paragraphs, row.headings, row["items"], row.images, row.tables) == (1, 1, 2, 1, 1)
+
+
+def test_refunds_count_uses_of_the_day_and_later(spark):
+    at = lambda d, h: datetime.datetime(2024, 1, d, h)
+    orders = spark.createDataFrame([(1, 7, "PAID", at(2, 5)), (2, 7, "PAID", at(4, 5)), (3, 8, "PAID", at(1, 0)), (4, 7, "PENDING", at(1, 0)), (5, None, "PAID", at(1, 0)), (6, 7, "PAID", at(2, 6))], "id int, user_id int, status string, ts timestamp_ntz")
+    log = spark.createDataFrame([(7, "view", at(2, 4)), (7, "view", at(2, 5)), (7, "view", at(2, 6)), (7, "view", at(3, 0)), (7, "click", at(9, 0)), (None, "view", at(9, 0))], "user_id int, action string, ts timestamp_ntz")
+    got = {r.id: (r.later_uses, r.refundable) for r in billing.refundable(orders, log, "view").collect()}
+    assert got == {1: (3, False), 2: (0, True), 3: (0, True), 5: (0, True), 6: (2, False)}
