@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,10 +28,11 @@ def folded(events: DataFrame) -> DataFrame:
 
     Rows of other streams never meet, and what is before the last text is dropped before it is gathered.
     """
-    marks = events.groupBy("stream_id").agg(F.min(F.when(F.col("done"), F.col("seq"))).alias("end"))
-    live = events.join(marks, "stream_id").where(F.col("end").isNull() | (F.col("seq") < F.col("end")))
-    begins = live.groupBy("stream_id").agg(F.max(F.when(F.col("text").isNotNull(), F.col("seq"))).alias("begin"))
-    taken = live.join(begins, "stream_id").where(F.col("begin").isNull() | (F.col("seq") >= F.col("begin")))
+    own = Window.partitionBy("stream_id")
+    ended = events.withColumn("end", F.min(F.when(F.col("done"), F.col("seq"))).over(own))
+    live = ended.where(F.col("end").isNull() | (F.col("seq") < F.col("end")))
+    begun = live.withColumn("begin", F.max(F.when(F.col("text").isNotNull(), F.col("seq"))).over(own))
+    taken = begun.where(F.col("begin").isNull() | (F.col("seq") >= F.col("begin")))
     parts = F.sort_array(F.collect_list(F.struct("seq", F.coalesce("text", "delta", F.lit("")).alias("part"))))  # one answer's pieces
     return taken.groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("content"))
 
