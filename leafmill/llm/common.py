@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,11 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = local_dir(spark.sparkContext.applicationId)
     return found.rstrip("/")
 
 
+@cache
+def local_dir(application: str) -> str:
+    """A temporary folder for a session on one machine: the same one each time it is asked for."""
+    return f"file://{tempfile.mkdtemp(prefix='leafmill-')}"
+
+
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: (table, its path).
 
