@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 
@@ -59,21 +59,44 @@ def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarr
 
 
 class Rows:
-    """Sparse rows: bucket numbers and values, one stretch a row."""
+    """Sparse rows: bucket numbers and values, one stretch a row.
 
-    def __init__(self, buckets: list[np.ndarray], values: list[np.ndarray] | None, width: int) -> None:
+    Products go through ``CHUNK`` entries at a time, so that nothing beside the entries themselves (8 bytes each) grows with their number.
+    """
+
+    CHUNK = 1 << 20
+
+    def __init__(self, buckets: list[np.ndarray], values: list[np.ndarray], width: int) -> None:
         self.width, self.n = width, len(buckets)
-        lengths = np.array([len(b) for b in buckets], np.int64)
-        self.at = np.concatenate(buckets) if buckets else np.zeros(0, np.int32)
-        self.row = np.repeat(np.arange(self.n, dtype=np.int32), lengths)
-        self.values = np.concatenate(values).astype(np.float32) if values else np.ones(len(self.at), np.float32)
-        self.lengths = lengths
+        self.lengths = np.array([len(b) for b in buckets], np.int64)
+        self.at = np.empty(int(self.lengths.sum()), np.int32)
+        self.values = np.empty(len(self.at), np.float32)
+        end = 0
+        for b, v in zip(buckets, values):
+            self.at[end : end + len(b)], self.values[end : end + len(b)] = b, v
+            end += len(b)
+        self.ends = np.cumsum(self.lengths)
+
+    def chunks(self) -> Iterator[tuple[slice, int, np.ndarray]]:
+        """Stretches of entries, the row of the first and how far beyond it the row of each lies."""
+        for start in range(0, len(self.at), self.CHUNK):
+            stop = min(start + self.CHUNK, len(self.at))
+            first, last = np.searchsorted(self.ends, [start, stop - 1], side="right")
+            edges = np.clip(np.append(self.ends[first:last], stop), start, stop)
+            yield slice(start, stop), int(first), np.repeat(np.arange(last - first + 1, dtype=np.int32), np.diff(edges, prepend=start))
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=self.values * w[self.at], minlength=self.n)
+        out = np.zeros(self.n)
+        for part, first, beyond in self.chunks():
+            found = np.bincount(beyond, weights=self.values[part] * w[self.at[part]])
+            out[first : first + len(found)] += found
+        return out
 
     def transposed_times(self, d: np.ndarray) -> np.ndarray:
-        return np.bincount(self.at, weights=self.values * d.astype(np.float32)[self.row], minlength=self.width)
+        out, d = np.zeros(self.width), d.astype(np.float32)
+        for part, first, beyond in self.chunks():
+            out += np.bincount(self.at[part], weights=self.values[part] * d[first:][beyond], minlength=self.width)
+        return out
 
 
 def logistic(rows: Rows, y: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:

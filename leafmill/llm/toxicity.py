@@ -47,12 +47,15 @@ def fit(texts: list[str], labels: np.ndarray, penalty: float = 2e-5) -> Model:
     if len(set(labels.tolist())) < 2:
         share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.0
         return Model(np.zeros(width, np.float32), float(np.log(share / (1 - share))) if share else -30.0)
-    rows = ngrams.Rows([ngrams.present(ngrams.hashed(t or "", ORDERS, BITS), BITS) for t in texts], None, width)
-    toxic = labels[rows.row] == 1
-    ones, zeros = np.bincount(rows.at[toxic], minlength=width), np.bincount(rows.at[~toxic], minlength=width)
+    found = [ngrams.present(ngrams.hashed(t or "", ORDERS, BITS), BITS) for t in texts]
+    ones, zeros = np.zeros(width), np.zeros(width)
+    for own, label in zip(found, labels):
+        (ones if label == 1 else zeros)[own] += 1  # a text's buckets are distinct
     ratio = np.log((ones + 1) / (labels.sum() + 2)) - np.log((zeros + 1) / ((labels == 0).sum() + 2))
     ratio[ones + zeros < 3] = 0
-    rows.values = (ratio[rows.at] / np.sqrt(np.maximum(1, rows.lengths))[rows.row]).astype(np.float32)
+    values = [(ratio[own] / np.sqrt(max(1, len(own)))).astype(np.float32) for own in found]
+    rows = ngrams.Rows(found, values, width)
+    del found, values
     weights, intercept = ngrams.logistic(rows, labels.astype(float), penalty * len(labels))
     return Model((weights * ratio).astype(np.float32), intercept)
 
