@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontaminate, language_id, line_dedup, pii, quality, secrets, simhash, token_output, toxicity
+from leafmill.llm import bpe, decontaminate, language_id, line_dedup, pii, quality, secrets, simhash, spelling, token_output, toxicity, whitening
 from leafmill.llm.common import held_out, shared_dir, table
 
 
@@ -71,8 +71,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector on the principal axes of all distinct ones."""
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.train(rows))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its near words, its form and its root."""
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_output, op4_decontaminate, op5_quality, op6_language, op7_pii, op8_simhash, op9_secrets, op10_bpe)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_output, op4_decontaminate, op5_quality, op6_language, op7_pii, op8_simhash, op9_secrets, op10_bpe, op11_whitening, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
