@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, decontaminate, language_id, line_dedup, pii, quality, secrets, simhash, spelling, token_output, toxicity, whitening
+from leafmill.llm import bpe, decontaminate, extraction, language_id, line_dedup, pii, quality, secrets, simhash, spelling, token_output, toxicity, whitening
 from leafmill.llm.common import held_out, shared_dir, table
 
 
@@ -77,13 +77,18 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, whitening.train(rows))
 
 
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, by its host's template."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its near words, its form and its root."""
     return spelling.grouped(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_output, op4_decontaminate, op5_quality, op6_language, op7_pii, op8_simhash, op9_secrets, op10_bpe, op11_whitening, op13_spelling)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_toxicity, op3_token_output, op4_decontaminate, op5_quality, op6_language, op7_pii, op8_simhash, op9_secrets, op10_bpe, op11_whitening, op12_extraction, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
