@@ -11,6 +11,8 @@ from leafmill.functions.rules import trimmed
 IMAGE = r"""(?i)<img\s+[^>]*src=["'][^"']*["'][^>]*>"""
 PLACEHOLDER = "__IMG_([0-9]+)__"
 CAPTION = r"^([图表])\s*([0-9]+(?:[-.][0-9]+)*)[\s\x{3000}、.：:]*(.*)$"
+#: A name in brackets, as files of figures have it.
+BRACKETED = r"[（(][A-Za-z_][A-Za-z0-9_\s.-]*[）)]"
 #: Fixed value: the line before the headings that are sent along with a text.
 TRAILER = "\n<!-- STRUCTURE_DATA -->\n"
 HEADINGS = "array<struct<level:double,text:string,number:string>>"
@@ -27,7 +29,7 @@ def source_number(number: Column, scheme: str) -> Column:
         forms = [around("", written, "、"), around("（", written, "）"), around("", digits, "."), around("(", digits, ")")]
     elif scheme == "chapter":
         forms = [around("第", written, "章"), around("第", written, "节"), around("", written, "、"), digits]
-    elif scheme == "decimal":
+    elif scheme in ("decimal", "decimal-nested"):
         forms = [around("", clean, "."), clean, clean, clean]
     else:
         forms = [F.lit("")] * 4
@@ -38,9 +40,14 @@ def caption(text: Column) -> Column:
     """(kind, number, title, key) of a numbered caption; null for other lines. ``key`` is what titles are compared by."""
     plain = tx.plain(text)
     part = lambda i: F.regexp_extract(plain, CAPTION, i)
-    key = F.regexp_replace(part(3), r"[（(][A-Za-z_][A-Za-z0-9_\s.-]*[）)]", "")
-    key = F.lower(F.regexp_replace(key, r"[^0-9a-zA-Z\x{4e00}-\x{9fff}]+", ""))
-    return F.when(part(1) != "", F.struct(part(1).alias("kind"), F.replace(part(2), F.lit("."), F.lit("-")).alias("number"), F.trim(part(3)).alias("title"), key.alias("key")))
+    number = F.replace(part(2), F.lit("."), F.lit("-"))
+    return F.when(part(1) != "", F.struct(part(1).alias("kind"), number.alias("number"), F.trim(part(3)).alias("title"), caption_key(text).alias("key")))
+
+
+def caption_key(text: Column) -> Column:
+    """What captions' titles are compared by: letters, digits and ideographs, without the number and bracketed names."""
+    bare = F.regexp_replace(tx.plain(text), r"^[图表]\s*[0-9]+(?:[-.][0-9]+)*[\s\x{3000}、.：:]*", "")
+    return F.lower(F.regexp_replace(F.regexp_replace(bare, BRACKETED, ""), r"[^0-9a-zA-Z\x{4e00}-\x{9fff}]+", ""))
 
 
 def clean_output(text: Column) -> Column:

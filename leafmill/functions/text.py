@@ -12,7 +12,7 @@ SPACE = r"[ \t\n\r\f\x0B\x{A0}\x{3000}\x{FEFF}]"
 #: Characters of Chinese numerals, and titles of front and back matter.
 NUMERAL = "一二三四五六七八九十百零"
 LEADING = "目录 目次 contents tableofcontents 摘要 中文摘要 英文摘要 内容摘要 abstract 关键词 keywords 前言 序言 序 preface foreword 声明 原创性声明 版权声明".split()
-TRAILING = "致谢 致谢辞 acknowledgement acknowledgements acknowledgment acknowledgments".split()
+TRAILING = "致谢 致谢辞 acknowledgement acknowledgements acknowledgments".split()
 ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
 
 
@@ -27,8 +27,8 @@ def compact(text: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """The basic entities as characters, one after the other."""
-    return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), text)
+    """The basic entities as characters, one after the other, in letters of either case."""
+    return reduce(lambda t, kv: F.regexp_replace(t, f"(?i){kv[0]}", kv[1]), ENTITIES.items(), text)
 
 
 def plain(html: Column) -> Column:
@@ -52,8 +52,13 @@ def without_number(heading: Column) -> Column:
     return heading
 
 
+def heading_norm(heading: Column) -> Column:
+    """A heading without tags, number and white space: what titles are compared by."""
+    return compact(without_number(F.regexp_replace(heading, "<[^>]*>", "")))
+
+
 def heading_key(heading: Column) -> Column:
-    """What headings are compared by."""
+    """A heading as ``heading_norm`` has it, in small letters."""
     return F.lower(compact(without_number(heading)))
 
 
@@ -65,6 +70,11 @@ def is_back_matter(heading: Column) -> Column:
     return heading_key(heading).isin(TRAILING)
 
 
+def is_matter(norm: Column) -> Column:
+    """Whether a heading, as ``heading_norm`` has it, is of front or back matter."""
+    return F.lower(norm).isin(LEADING + TRAILING)
+
+
 def chinese(n: Column) -> Column:
     """1 to 99 as a Chinese numeral; other numbers as digits."""
     digit = lambda d: F.substring(F.lit("一二三四五六七八九"), d.cast("int"), F.lit(1))

@@ -113,11 +113,16 @@ def compressed(groups: DataFrame, least: int = 240, share: float = 0.78) -> Data
     return groups.select("doc_id", kept("chunks").alias("kept"))
 
 
-def aligned(pairs: DataFrame, least: float = 0.85) -> DataFrame:
-    """(doc_id, matches): for each output title (array ``found``) the number of its outline title (array ``outline``), or -1.
+def aligned(pairs: DataFrame) -> DataFrame:
+    """(doc_id, matches): ``aligned_rows`` of the arrays ``outline`` and ``found``."""
+    return aligned_rows(pairs, "outline", "found", "matches").select("doc_id", "matches")
+
+
+def aligned_rows(rows: DataFrame, outline: str, found: str, to: str, least: float = 0.85) -> DataFrame:
+    """``rows`` with ``to``: for each title of the array ``found`` the number of its title in ``outline``, or -1.
 
     An equal title at or after the cursor comes first, then an equal one anywhere,
-    then the most similar one; each outline title is used once.
+    then the most similar one; each title of the outline is used once.
     """
 
     def match(outline: list[str], found: list[str]) -> list[int]:
@@ -144,7 +149,7 @@ def aligned(pairs: DataFrame, least: float = 0.85) -> DataFrame:
     def matches(outlines: pd.Series, founds: pd.Series) -> pd.Series:
         return pd.Series([match(list(a), list(b)) for a, b in zip(outlines, founds)])
 
-    return pairs.select("doc_id", matches("outline", "found").alias("matches"))
+    return rows.withColumn(to, matches(outline, found))
 
 
 def ratio(a: str, b: str) -> float:

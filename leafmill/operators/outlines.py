@@ -15,10 +15,17 @@ def skeleton(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     order = Window.partitionBy(key).orderBy("pos")
     kept = rows.where((F.col("level") >= 1) & (title != "")).withColumn("node", F.concat(F.lit("sk"), (F.row_number().over(order) - 1).cast("string")))
     level = F.least(F.floor(F.col("level") + 0.5), F.lit(6)).cast("int")
-    own = kept.select(key, "node", F.least(level + 1, F.lit(6)).alias("level"), trimmed(F.coalesce("number", F.lit(""))).alias("number"), title.alias("title"), tx.heading_key(F.col("title")).alias("norm"))
+    own = kept.select(key, "node", F.least(level + 1, F.lit(6)).alias("level"), trimmed(F.coalesce("number", F.lit(""))).alias("number"), title.alias("title"), tx.heading_norm(F.col("title")).alias("norm"))
     return own.where("norm != ''")
 
 
+def skeleton_arrays(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, nodes): one array of (id, level, number, norm) a document, in order."""
+    at = F.substring("node", 3, 10).cast("int")
+    own = F.array_sort(F.collect_list(F.struct(at.alias("at"), F.struct(F.col("node").alias("id"), "level", "number", "norm").alias("node"))))
+    return nodes.groupBy(key).agg(F.transform(own, lambda x: x["node"]).alias("nodes"))
+
+
 def outline_totals(nodes: DataFrame, key: str = "doc_id", share: float = 0.7) -> DataFrame:
     """(key, chapters, keeps_numbers): chapters without front and back matter; whether so many headings have numbers that they are kept."""
     matter = tx.is_front_matter(F.col("title")) | tx.is_back_matter(F.col("title"))
