@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,22 +64,44 @@ def shared(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return pairs.select(key, common.cast("long").alias("common"), F.when(smaller > 0, F.round(common / smaller, 4)).otherwise(0.0).alias("coverage"))
 
 
-def repetition(docs: DataFrame) -> DataFrame:
-    """(doc_id, char_spam, sentence_loop, same_body): three signs of a text that runs in circles, at its end.
+def end_of(text: Column, n: int, clean: Callable[[Column], Column], near: int = 20_000) -> Column:
+    """The last ``n`` characters of a cleaned text.
+
+    Only the last ``near`` are cleaned where they are enough: they must not begin
+    inside a tag, and hold ``n`` characters after cleaning.
+    """
+    part = F.right(text, F.lit(near))
+    whole_tags = ~part.rlike("^[^<]*>")
+    short = (F.length(text) > near) & whole_tags & (F.length(clean(part)) > n)
+    return F.right(clean(F.when(short, part).otherwise(text)), F.lit(n))
+
+
+def loop_signs(text: Column) -> list[Column]:
+    """Three signs of a text that runs in circles, at its end: characters, a sentence, bodies of numbered items.
 
     A group of up to 6 characters 15 times in the last 600; a sentence of 20 to
-    150 characters 5 times among the last 10; 5 of the last 8 numbered items alike.
+    150 characters 5 times among the last 10 (of 8 or more); 5 of the last 8 items
+    numbered in brackets like the last one.
     """
     once = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  binds a value that a lambda would compute again for each element
-    again = lambda items: F.exists(items, lambda s: F.size(F.filter(items, lambda t: t == s)) >= 5)
     ending = lambda items, n: F.slice(items, -F.least(F.size(items), F.lit(n)), F.lit(n))
-    tail = F.right(tx.squeezed(F.col("text")), F.lit(2500))
-    spam = F.right("text", F.lit(600)).rlike(r"(?s)(.{1,6})\1{14,}")
-    found = F.filter(F.transform(F.split(tail, r"(?<=[。！？!?.])"), lambda s: F.trim(s)), lambda s: F.length(s).between(20, 150))
-    loop = once(found, lambda f: F.when(F.size(f) >= 8, once(ending(f, 10), again)).otherwise(False))
-    bodies = F.regexp_extract_all(F.col("text"), F.lit(r"[(（]?[0-9]+[)）.、] ?([^\n]{8,})"), F.lit(1))
-    same = once(bodies, lambda f: F.when(F.size(f) >= 5, once(ending(f, 8), again)).otherwise(False))
-    return docs.select("doc_id", spam.alias("char_spam"), loop.alias("sentence_loop"), same.alias("same_body"))
+    bare = lambda t: F.regexp_replace(t, "<[^>]+>", "")
+    spaced = lambda t: F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), f"{tx.SPACE}+", " ")
+    trimmed = lambda items: F.transform(items, lambda s: F.trim(s))
+    spam = end_of(text, 600, bare).rlike(r"(.{1,6})\1{14,}")
+    found = F.regexp_extract_all(end_of(text, 2500, spaced), F.lit(r"[^。！？!?\n]{20,150}[。！？!?]"), F.lit(0))
+    again = lambda items: F.exists(items, lambda s: F.size(F.filter(items, lambda t: t == s)) >= 5)
+    sentence = once(found, lambda f: F.when(F.size(f) >= 8, once(trimmed(ending(f, 10)), again)).otherwise(False))
+    bodies = F.regexp_extract_all(end_of(text, 3000, spaced), F.lit(r"[（(]\s*[0-9]+\s*[）)]\s*([^\n（）()]{8,100})"), F.lit(1))
+    like_last = lambda items: (F.length(F.element_at(items, -1)) >= 8) & (F.size(F.filter(items, lambda s: s == F.element_at(items, -1))) >= 5)
+    same = once(bodies, lambda f: F.when(F.size(f) >= 5, once(trimmed(ending(f, 8)), like_last)).otherwise(False))
+    return [spam, sentence, same]
+
+
+def repetition(docs: DataFrame) -> DataFrame:
+    """(doc_id, char_spam, sentence_loop, same_body): the signs of ``loop_signs``; null texts show none."""
+    spam, sentence, same = loop_signs(F.coalesce("text", F.lit("")))
+    return docs.select("doc_id", spam.alias("char_spam"), sentence.alias("sentence_loop"), same.alias("same_body"))
 
 
 def images(pairs: DataFrame, key: str, html: str, expected: str) -> DataFrame:

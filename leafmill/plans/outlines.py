@@ -31,6 +31,7 @@ def query(sql: str) -> Callable[[Query], Query]:
 
 TITLE = "CASE id % 10 WHEN 0 THEN '摘 要' WHEN 1 THEN '致谢' WHEN 2 THEN (id % 9 + 1) || '. ' || plan WHEN 3 THEN '  ' ELSE plan END"
 NORM = "CASE id % 10 WHEN 0 THEN '摘要' WHEN 1 THEN '致谢' WHEN 3 THEN '' ELSE lower(replace(plan, ' ', '')) END"
+NORM_AS_WRITTEN = NORM.replace("lower(replace(plan, ' ', ''))", "replace(plan, ' ', '')")
 NUMBER = "CASE WHEN id % 3 < 2 THEN (id % 4 + 1) || '.2' ELSE '' END"
 
 
@@ -39,7 +40,7 @@ def headings(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
     return tables.orders(spark, sf_dir).selectExpr("user_id AS doc_id", "id AS pos", f"{level} AS level", f"{NUMBER} AS number", f"{TITLE} AS title")
 
 
-NODES = f"SELECT *, 'sk' || (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) AS node FROM (SELECT user_id AS doc_id, id AS pos, CAST(least(least(id % 8, 6) + 1, 6) AS INTEGER) AS level, {NUMBER} AS number, {NORM} AS norm FROM {ORDERS} WHERE id % 8 >= 1 AND id % 10 <> 3)"
+NODES = f"SELECT *, 'sk' || (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) AS node FROM (SELECT user_id AS doc_id, id AS pos, CAST(least(least(id % 8, 6) + 1, 6) AS INTEGER) AS level, {NUMBER} AS number, {NORM_AS_WRITTEN} AS norm FROM {ORDERS} WHERE id % 8 >= 1 AND id % 10 <> 3)"
 
 
 @query(f"SELECT doc_id, node, level, number, norm FROM ({NODES})")

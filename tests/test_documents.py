@@ -70,7 +70,7 @@ def test_diff_and_repetition(spark):
     pairs = spark.createDataFrame([(1, "The first sentence stands! The second one goes away!", "<p>The first sentence stands!</p>"), (2, "", "")], "id int, a string, b string")
     got = {r.id: r for r in quality.content_diff(pairs, "id", "a", "b").collect()}
     assert (got[1].removed, got[1].added, got[1].retention) == (1, 0, 50) and got[2].retention == 100
-    texts = ["ab" * 40, "A sentence that comes again and again. " * 9, "".join(f"{i}. the same body text\n" for i in range(8)), "Nothing of the kind stands here.", "", None]
+    texts = ["ab" * 40, "A sentence that comes again and again! " * 9, "".join(f"({i}) the same body text " for i in range(8)), "Nothing of the kind stands here.", "", None]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r.doc_id: (r.char_spam, r.sentence_loop, r.same_body) for r in quality.repetition(rows).collect()}
     assert got[0][0] and got[1][1] and got[2][2] and got[3] == (False, False, False) and got[4] == (False, False, False)

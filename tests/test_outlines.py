@@ -51,7 +51,7 @@ def test_skeleton_and_titles(spark):
     rows = [(1, 0, 1.0, "", "Title"), (1, 1, 1.6, "1", "1. Chapter"), (1, 2, 1.0, None, " title "), (1, 3, 0.0, "", "bad"), (1, 4, 1.0, "", "  "), (1, 5, 9.0, "", "deep"), (1, 6, 1.0, "", "致谢")]
     df = spark.createDataFrame(rows, "doc_id int, pos int, level double, number string, title string")
     nodes = outlines.skeleton(df)
-    assert [(r.node, r.level, r.norm) for r in nodes.orderBy("node").collect()] == [("sk0", 2, "title"), ("sk1", 3, "chapter"), ("sk2", 2, "title"), ("sk3", 6, "deep"), ("sk4", 2, "致谢")]
+    assert [(r.node, r.level, r.norm) for r in nodes.orderBy("node").collect()] == [("sk0", 2, "Title"), ("sk1", 3, "Chapter"), ("sk2", 2, "title"), ("sk3", 6, "deep"), ("sk4", 2, "致谢")]
     assert tuple(outlines.outline_totals(nodes).first()) == (1, 2, False)
     kept = outlines.single_title(df.withColumn("level", F.col("level").cast("int")))
     assert [(r.pos, r.level) for r in kept.orderBy("pos").collect()] == [(0, 1), (1, 2), (3, 0), (4, 2), (5, 9), (6, 2)]
