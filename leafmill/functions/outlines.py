@@ -93,7 +93,8 @@ def images_out(html: Column) -> Column:
 
 
 def images_back(text: Column, images: Column) -> Column:
-    """The images in place of their placeholders; a placeholder without an image stays."""
+    """The images in place of their placeholders, also where one stands as the source of an image tag; a placeholder without an image stays."""
+    text = F.regexp_replace(text, rf"""(?i)<img\b[^>]*\bsrc=["']({PLACEHOLDER.replace("(", "(?:")})["'][^>]*>""", "$1")
     parts, numbers = F.split(text, PLACEHOLDER), F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1))
     image = lambda n: F.coalesce(F.get(images, n.try_cast("int")), F.concat(F.lit("__IMG_"), n, F.lit("__")))
     return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(image(F.get(numbers, i - 1)), x))), "")
@@ -107,7 +108,9 @@ def table_keys(html: Column) -> Column:
 
 def alternates(lines: Column) -> Column:
     """Whether the last eight lines with real text are two different ones in turn."""
-    real = F.filter(F.transform(lines, trimmed), lambda x: (F.length(x) >= 30) & x.rlike(r"[\x{4e00}-\x{9fa5}a-zA-Z]{10,}"))
+    # a longer line counts as several, of 300 characters each
+    cut = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(r"[^\n]{30,300}"), F.lit(0))))
+    real = F.filter(F.transform(cut, trimmed), lambda x: (F.length(x) >= 30) & x.rlike(r"[\x{4e00}-\x{9fa5}a-zA-Z]{10,}"))
     last = F.slice(real, F.greatest(F.size(real) - 7, F.lit(1)), 8)
     turn = lambda r: F.array_distinct(F.filter(last, lambda _, i: i % 2 == r))
     return (F.size(last) == 8) & (F.size(turn(0)) == 1) & (F.size(turn(1)) == 1) & (F.get(turn(0), F.lit(0)) != F.get(turn(1), F.lit(0)))

@@ -24,6 +24,9 @@ CHUNKS = {"gemini-flash": 12000, "gemini-pro": 16000, "doubao": 9000, "deepseek"
 OTHER_CHUNK, LEAST_CHUNK, TOP_TIER_FACTOR = 12000, 4000, 1.35
 #: Price in cents and days of each plan.
 PRICES = {"plus_monthly": (499, 30), "plus_yearly": (4999, 365), "pro_monthly": (899, 30), "pro_yearly": (8999, 365), "ultra_monthly": (1399, 30), "ultra_yearly": (13999, 365)}
+#: Content characters by tier, and of a payload with its images.
+CONTENT_LIMITS = {"FREE": 200_000, "PLUS": 2_000_000, "PRO": 2_000_000, "ULTRA": 2_000_000}
+RAW_LIMIT = 60_000_000
 #: Fields that logs don't show.
 SECRET_FIELDS = ["password", "passwordHash", "token", "authorization", "cookie"]
 
@@ -34,12 +37,12 @@ def trimmed(text: Column | str) -> Column:
 
 
 def file_name(text: Column, otherwise: str = "pasted") -> Column:
-    """A name from the first sentence of the first line that isn't blank, of 30 characters at most."""
+    """A name from the first sentence of the first line that isn't blank, of 30 characters at most; blank texts have the name of a document."""
     lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), trimmed), lambda x: x != "")
     first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     sentence = trimmed(F.element_at(F.split(first, "[。.!?！？]"), 1))
     base = trimmed(F.regexp_replace(F.substring(F.when(sentence != "", sentence).otherwise(first), 1, 30), r'[\\/:*?"<>|]', ""))
-    return F.concat(F.when(base != "", base).otherwise(F.lit(otherwise)), F.lit(".txt"))
+    return F.concat(F.when(first == "", "document").when(base != "", base).otherwise(F.lit(otherwise)), F.lit(".txt"))
 
 
 def is_member(value: Column, listed: Column) -> Column:
@@ -52,6 +55,15 @@ def missing(value: Column) -> Column:
     return value.isNull() | (value == "")
 
 
+def payload(raw: Column, chars: Column, tier: Column) -> Column:
+    """What is wrong with a payload: ``too_large`` as sent, ``too_long`` for its tier once images are out; null if nothing.
+
+    ``raw`` and ``chars`` are its lengths with images and without.
+    """
+    most = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CONTENT_LIMITS.items() for x in kv)), tier), F.lit(CONTENT_LIMITS["FREE"]))
+    return F.when(raw > RAW_LIMIT, "too_large").when(chars > most, "too_long")
+
+
 def progress(status: Column) -> Column:
     """(kind, part, parts) of a status line such as ``PARTIAL_GENERATING|2|5``; null for other lines."""
     parts = F.split(status, r"\|")

@@ -10,9 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents a period, by tier; content characters; plan amounts and days.
+#: Documents a period, by tier; plan amounts and days.
 LIMITS = {"FREE": 3, "PLUS": 50, "PRO": 200, "ULTRA": 1000}
-CONTENT_LIMITS = {"FREE": 200_000, "PLUS": 2_000_000, "PRO": 2_000_000, "ULTRA": 2_000_000}
 
 
 def lookup(key: Column, table: dict[str, int], default: int) -> Column:

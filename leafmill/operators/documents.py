@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -153,9 +153,12 @@ def aligned_rows(rows: DataFrame, outline: str, found: str, to: str, least: floa
 
 
 def ratio(a: str, b: str) -> float:
-    """1 - edit distance / greater length, 0 where the lengths alone put it below 0.85."""
+    """1 - edit distance / greater length, 0 where lengths or letters alone put it below 0.85."""
     longest = max(len(a), len(b))
-    if not longest or abs(len(a) - len(b)) > 0.15 * longest or SequenceMatcher(None, a, b).real_quick_ratio() < 0.8:
+    if not longest or abs(len(a) - len(b)) > 0.15 * longest:
+        return 0.0
+    left, right = Counter(a), Counter(b)
+    if max((left - right).total(), (right - left).total()) > 0.15 * longest:  # each letter too many takes an edit
         return 0.0
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -52,5 +52,7 @@ def last_headings(rows: DataFrame, key: str = "doc_id", n: int = 5) -> DataFrame
 
 
 def heading_levels(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, norm, level): the level that a title had last."""
-    return rows.groupBy(key, tx.heading_key(F.col("title")).alias("norm")).agg(F.max_by("level", "pos").alias("level"))
+    """(key, title, level, number): what a title, in small letters and trimmed, had last."""
+    last = F.max_by(F.struct("level", F.coalesce("number", F.lit("")).alias("number")), "pos")
+    found = rows.groupBy(key, F.lower(trimmed("title")).alias("title")).agg(last.alias("x"))
+    return found.select(key, "title", "x.level", "x.number")

@@ -66,7 +66,7 @@ def last_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlines.last_headings(headings(spark, sf_dir, "1"))
 
 
-@query(f"SELECT doc_id, norm, arg_max(level, pos) AS level FROM (SELECT user_id AS doc_id, id AS pos, CAST(id % 3 + 1 AS INTEGER) AS level, {NORM} AS norm FROM {ORDERS}) GROUP BY 1, 2")
+@query(f"SELECT doc_id, lower(trim(title)) AS title, arg_max(level, pos) AS level, arg_max(number, pos) AS number FROM (SELECT user_id AS doc_id, id AS pos, CAST(id % 3 + 1 AS INTEGER) AS level, {NUMBER} AS number, {TITLE} AS title FROM {ORDERS}) GROUP BY 1, 2")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlines.heading_levels(headings(spark, sf_dir, "CAST(id % 3 + 1 AS INT)"))
 

@@ -50,8 +50,8 @@ def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH l AS (SELECT doc_id, coalesce(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {trimmed('x')}), lambda x: x <> '')[1], '') AS f FROM documents),
-s AS (SELECT doc_id, f, {trimmed("string_split_regex(f, '[。.!?！？]')[1]")} AS s FROM l), b AS (SELECT doc_id, {trimmed("regexp_replace(substr(CASE WHEN s <> '' THEN s ELSE f END, 1, 30), '[\\\\/:*?\"<>|]', '', 'g')")} AS b FROM s)
-SELECT doc_id, CASE WHEN b <> '' THEN b ELSE 'pasted' END || '.txt' AS name FROM b""")
+s AS (SELECT doc_id, f, {trimmed("string_split_regex(f, '[。.!?！？]')[1]")} AS s FROM l), b AS (SELECT doc_id, f, {trimmed("regexp_replace(substr(CASE WHEN s <> '' THEN s ELSE f END, 1, 30), '[\\\\/:*?\"<>|]', '', 'g')")} AS b FROM s)
+SELECT doc_id, CASE WHEN f = '' THEN 'document' WHEN b <> '' THEN b ELSE 'pasted' END || '.txt' AS name FROM b""")
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", rules.file_name(F.col("text")).alias("name"))
 
@@ -61,11 +61,13 @@ def admin_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.users(spark, sf_dir).select("id", rules.is_member(F.col("id").cast("string"), F.lit(" 3, 5,, 11 ,")).alias("is_admin"))
 
 
-@query("SELECT doc_id, text IS NULL OR text = '' AS missing, coalesce(length(text) > CASE doc_id % 3 WHEN 0 THEN 500 WHEN 1 THEN 2000 ELSE 8000 END, false) AS too_long FROM documents")
+@query("""SELECT doc_id, text IS NULL OR text = '' AS missing, CASE WHEN raw > 60000000 THEN 'too_large' WHEN chars > CASE doc_id % 4 WHEN 0 THEN 200000 WHEN 1 THEN 2000000 WHEN 2 THEN 2000000 ELSE 200000 END THEN 'too_long' END AS fault
+FROM (SELECT doc_id, text, coalesce(length(text), 0) * 20000 AS raw, coalesce(length(text), 0) * 400 AS chars FROM documents)""")
 def payload_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    most = F.element_at(F.array(F.lit(500), F.lit(2000), F.lit(8000)), (F.col("doc_id") % 3 + 1).cast("int"))
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", rules.missing(F.col("text")).alias("missing"), F.coalesce(F.length("text") > most, F.lit(False)).alias("too_long"))
+    """Payloads as long as 400 copies of a text, and 20,000 with their images, against the limits of tiers (one unknown)."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
+    fault = rules.payload(F.col("n") * 20_000, F.col("n") * 400, picked(["FREE", "PLUS", "ULTRA", "other"], "doc_id"))
+    return d.select("doc_id", rules.missing(F.col("text")).alias("missing"), fault.alias("fault"))
 
 
 @query(f"SELECT id, CASE id % 3 WHEN 0 THEN 'PARTIAL_GENERATING' WHEN 1 THEN 'PART_COMPLETE' END AS kind, CASE WHEN id % 3 < 2 THEN CAST(id % 7 AS INTEGER) END AS part, CASE WHEN id % 3 < 2 THEN 9 END AS parts FROM {USAGE}")
