@@ -60,19 +60,20 @@ def quota(users: DataFrame, log: DataFrame, action: str) -> DataFrame:
 def refundable(orders: DataFrame, log: DataFrame, action: str) -> DataFrame:
     """(id, later_uses, refundable): a paid order may be refunded if its user did nothing at or after its time.
 
-    Uses of later days come from running totals of a user's days, so only the
-    orders and uses of one user on one day ever meet.
+    Orders and uses are dealt once, by user and day: within a day a window counts,
+    and later days come from running totals of a user's days, so that a user of
+    very many rows isn't one task's.
     """
     day = F.to_date("ts").alias("day")
-    uses = log.where((F.col("action") == action) & F.col("ts").isNotNull()).select(F.col("user_id").alias("of"), day, F.col("ts").alias("used_at"))
-    paid = orders.where("status = 'PAID'").select("id", F.col("user_id").alias("of"), day, "ts")
-    days = uses.groupBy("of", "day").agg(F.count("*").alias("n")).union(paid.select("of", "day", F.lit(0).cast("long")).distinct())
+    paid = orders.where("status = 'PAID'").select(F.col("user_id").alias("of"), day, "ts", "id", F.lit(0).alias("used"))
+    uses = log.where((F.col("action") == action) & F.col("ts").isNotNull() & F.col("user_id").isNotNull()).select(F.col("user_id").alias("of"), day, "ts", F.lit(None).cast(paid.schema["id"].dataType).alias("id"), F.lit(1).alias("used"))
+    rows = paid.union(uses).repartition("of", "day")
+    since = Window.partitionBy("of", "day").orderBy(F.desc("ts")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     later = Window.partitionBy("of").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    after = days.groupBy("of", "day").agg(F.sum("n").alias("n")).select("of", "day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
-    same = paid.join(uses, ["of", "day"]).where("used_at >= ts").groupBy("id").agg(F.count("*").alias("same"))
-    total = (F.coalesce("after", F.lit(0)) + F.coalesce("same", F.lit(0))).cast("long")
-    counted = paid.join(after, ["of", "day"], "left").join(same, "id", "left").select("id", total.alias("later_uses"))
-    return counted.withColumn("refundable", F.col("later_uses") == 0)
+    days = rows.groupBy("of", "day").agg(F.sum("used").alias("n")).select("of", "day", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
+    counted = rows.withColumn("same", F.sum("used").over(since)).where("id is not null").join(days, ["of", "day"], "left")
+    total = (F.coalesce("after", F.lit(0)) + F.col("same")).cast("long")
+    return counted.select("id", total.alias("later_uses")).withColumn("refundable", F.col("later_uses") == 0)
 
 
 def reconciled(orders: DataFrame, now: str) -> DataFrame:

@@ -74,30 +74,33 @@ def deduplicated(stream: DataFrame, key: str, time: str, within: str = "24 hours
 class WindowCounter(StatefulProcessor):
     """The state of one key: when its window began (microseconds) and how many hits it has."""
 
-    def __init__(self, seconds: int, limit: int) -> None:
-        self.seconds, self.limit = seconds, limit
+    def __init__(self, seconds: int, limit: int, ttl_ms: int = 0) -> None:
+        self.seconds, self.limit, self.ttl_ms = seconds, limit, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", "start long, n long")
+        self.state = handle.getValueState("window", "start long, n long", self.ttl_ms or None)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         known = self.state.get() if self.state.exists() else (None, 0)
         start, n = known[0], known[1]
-        for batch in rows:
-            batch = batch.sort_values(["at", "id"])
-            counts = []
-            for at in batch["at"].tolist():
-                if start is None or at >= start + self.seconds * 1_000_000:
-                    start, n = at, 0
-                n += 1
-                counts.append(n)
-            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "n": counts, "accepted": [c <= self.limit for c in counts]})
+        hits = pd.concat(rows).sort_values(["at", "id"])  # a key's hits of one trigger, in order
+        counts = []
+        for at in hits["at"].tolist():
+            if start is None or at >= start + self.seconds * 1_000_000:
+                start, n = at, 0
+            n += 1
+            counts.append(n)
+        yield pd.DataFrame({"id": hits["id"], "key": hits["key"], "n": counts, "accepted": [c <= self.limit for c in counts]})
         self.state.update((start, n))
 
     def close(self) -> None:
         pass
 
 
-def limited_stream(hits: DataFrame, seconds: int, limit: int) -> DataFrame:
-    """(id, key, n, accepted) of a stream of hits (id, key, at): ``limited``, with its state kept by Spark."""
-    return hits.select("id", "key", "at").groupBy("key").transformWithStateInPandas(WindowCounter(seconds, limit), "id long, key long, n long, accepted boolean", "append", "none")
+def limited_stream(hits: DataFrame, seconds: int, limit: int, ttl_ms: int = 0) -> DataFrame:
+    """(id, key, n, accepted) of a stream of hits (id, key, at): ``limited``, with its state kept by Spark.
+
+    With ``ttl_ms``, which should be longer than a window, a key's state goes so long after its last hit.
+    """
+    work, mode = WindowCounter(seconds, limit, ttl_ms), "processingTime" if ttl_ms else "none"
+    return hits.select("id", "key", "at").groupBy("key").transformWithStateInPandas(work, "id long, key long, n long, accepted boolean", "append", mode)
