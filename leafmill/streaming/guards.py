@@ -176,6 +176,8 @@ def guarded(pieces: DataFrame, ttl_ms: int = 3_600_000, idle_ms: int = 900_000)
     """
     own = pieces.select("stream_id", "seq", "delta", "finish", "items_in", "chars_in")
     live = pieces.isStreaming
+    if not live:
+        pieces.sparkSession.streams.active  # noqa: B018  the coordinator of state stores starts with it
     work = Guards(ttl_ms if live else 0, idle_ms if live else 0)
     return own.groupBy("stream_id").transformWithStateInPandas(work, OUT, "append", "processingTime" if live else "none")
 
