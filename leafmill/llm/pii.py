@@ -1,14 +1,22 @@
 """PII: patterns, and terms that give a protected entity away.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern.
-Each value found is a protected entity. The words around it are counted over
-the corpus: how many different surroundings of an entity have a term, in how
-many documents it stands beside the entity, and in how many it occurs at all.
-A term discloses an entity if, given the term, the entity is likely
-(``MIN_CHANCE``) and much likelier than without it (``MIN_BITS`` bits of
-pointwise information), on the evidence of ``MIN_CONTEXTS`` surroundings that
-differ, so that copies of a text are no evidence. Disclosing terms become spans
-of kind ``term`` wherever they occur. Everything is DataFrame functions.
+Each value found is a protected entity. Terms (words of ``LETTERS`` letters and
+more, without those inside e-mail addresses) and entities are counted over the
+corpus, document by document and over whole texts: in how many documents each
+stands, and in how many both do. A term discloses an entity if a document that
+has the term has the entity with a chance of ``MIN_CHANCE`` at least, if that is
+no accident (``MIN_EVIDENCE`` bits: how much likelier the counts are by that chance
+than by the entity's share of all documents), and if the term stands in
+``MIN_CONTEXTS`` different pairs of neighbouring words in documents with the
+entity, so that copies of a text, near ones too, are no evidence. A frequent
+entity takes more documents, but no entity and no table is out of reach.
+Disclosing terms become spans of kind ``term`` wherever they occur. Everything is
+DataFrame functions.
+
+Only entities of ``MIN_CONTEXTS`` documents and more can be disclosed, so only
+texts with one of these are read again for pairs; the pairs that remain by their
+counts are few, and only these are looked up in the corpus.
 
 Edge cases: a null text counts as empty, an empty one has no spans; rows that
 repeat a doc_id are handled apart, unless their texts are equal too; null
@@ -16,6 +24,7 @@ doc_ids are carried along. Spans of different kinds may overlap; ``sanitised``
 replaces the first of them and passes all other columns through. The patterns
 are written so that no text, however long, makes them slow: possessive where
 nothing needs to be given back, and tried only where a run of characters begins.
+Places of matches are added up block by block (``spans.BLOCK``).
 """
 
 from __future__ import annotations
@@ -29,9 +38,10 @@ from leafmill.llm import common
 from leafmill.llm.spans import SPAN, bounded, document_counts, occurrences, spans
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters to each side of an entity whose words are its surroundings, and letters of a term at least.
-AROUND, LETTERS = 60, 4
-MIN_CONTEXTS, MIN_CHANCE, MIN_BITS = 3, 0.5, 6.0
+#: Letters of a term at least.
+LETTERS = 2
+#: What makes a term disclose an entity: different contexts, chance of the entity given the term, bits of evidence.
+MIN_CONTEXTS, MIN_CHANCE, MIN_EVIDENCE = 3, 0.5, 16.0
 #: What sanitised texts have in place of a span.
 PLACEHOLDERS = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
 
@@ -72,51 +82,72 @@ def base_spans(docs: DataFrame) -> DataFrame:
         F.filter(spans(t, PHONE, t.contains("+")), lambda s: n_digits(s["value"]).between(8, 15)).alias("phone"),
     )
 
-    def around(s: Column) -> Column:
-        # one character more to each side shows whether the outermost word is cut; the rest of such a word goes
-        begin = F.greatest(s["start"] - AROUND - 1, F.lit(0))
-        left, right = F.substring("text", begin + 1, s["start"] - begin), F.substring("text", s["end"] + 1, F.lit(AROUND + 1))
-        left = F.when(begin > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-        right = F.when(F.length(right) > AROUND, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        context = F.concat_ws(" ", left, right)
-        return F.struct(F.lower(s["value"]).alias("entity"), F.lower(context).alias("context"))
+    entities = F.array_distinct(F.transform(F.concat(*KINDS), lambda s: F.lower(s["value"])))
+    return found.select("doc_id", "text_hash", *KINDS, entities.alias("entities"))
 
-    return found.select("doc_id", "text_hash", *KINDS, F.transform(F.concat(*KINDS), around).alias("entities"))
+
+def same_row(left: str, right: str) -> Column:
+    """Whether two rows are of one document: by id, nulls too, and text."""
+    return (F.col(f"{left}.text_hash") == F.col(f"{right}.text_hash")) & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id"))
+
+
+def words(text: Column) -> Column:
+    """The words of a text outside e-mail addresses, in order; short ones too."""
+    bare = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.filter(F.split(F.lower(bare), r"[^\p{L}]+"), lambda w: w != "")
+
+
+def evidence(together: Column, n: Column, share: Column) -> Column:
+    """Bits by which ``together`` of ``n`` documents are likelier at their own rate than at ``share``."""
+    rate = together / n
+    part = lambda k, p, q: F.when(k > 0, k * F.log2(p / q)).otherwise(0.0)
+    return part(together, rate, share) + part(n - together, 1 - rate, F.greatest(1 - share, F.lit(1e-12)))
 
 
 def disclosing(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(term, entity, chance, bits): the terms that give an entity away."""
-    near = base.where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.entity", F.xxhash64("e.context").alias("context"), F.explode_outer(F.array_distinct(F.split("e.context", r"[^\p{L}]+"))).alias("term"))
-    near = near.where(F.length("term") >= LETTERS)
-    # counts of the distinct are made in two steps, so that a hot entity is added up before it is moved
-    contexts = near.groupBy("term", "entity", "context").agg(F.count("*").alias("c")).groupBy("term", "entity").agg(F.count("*").alias("contexts"))
-    beside = near.select("term", "entity", "doc_id").distinct().groupBy("term", "entity").agg(F.count("*").alias("together"))
-    # a term occurs in the documents where it stands beside any entity at least: what is too frequent there needs no count over the corpus
-    anywhere = near.select("term", "doc_id").distinct().groupBy("term").agg(F.count("*").alias("n_beside"))
-    joint = contexts.where(F.col("contexts") >= MIN_CONTEXTS).join(beside, ["term", "entity"]).join(anywhere, "term").where(F.col("together") >= MIN_CHANCE * F.col("n_beside"))
-    joint, _ = common.stage(joint.drop("n_beside"), "joint")
-    terms, _ = common.stage(joint.select("term").distinct(), "terms")
-    entities = base.where(F.size("entities") > 0).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    """(term, entity, together, n, contexts): the terms that give an entity away."""
+    spark = docs.sparkSession
+    each = base.where(F.size("entities") > 0).select("doc_id", "text_hash", F.explode("entities").alias("entity"))
+    counted = each.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= MIN_CONTEXTS)
+    frequent, frequent_path = common.stage(counted, "entities")
+    kept = each.join(bounded(frequent).select("entity"), "entity", "left_semi").distinct()
+    holders, holders_path = common.stage(kept.groupBy("doc_id", "text_hash").agg(F.collect_list("entity").alias("entities")), "holders")  # a document's entities
+    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    one = text.alias("t").join(bounded(holders).alias("h"), same_row("t", "h"))
+    read, read_path = common.stage(one.select("h.entities", words(F.col("t.text")).alias("words")), "words")
+    terms = read.select("entities", F.explode_outer(F.array_distinct("words")).alias("term")).where(F.length("term") >= LETTERS)
+    pairs = terms.select("term", F.explode("entities").alias("entity")).groupBy("term", "entity").agg(F.count("*").alias("together"))
+    # a term stands in the documents with any frequent entity at least: what is too frequent there needs no count over the corpus
+    beside = terms.groupBy("term").agg(F.count("*").alias("n_beside"))
+    joint = pairs.where(F.col("together") >= MIN_CONTEXTS).join(beside, "term").where(F.col("together") >= MIN_CHANCE * F.col("n_beside"))
+    joint, joint_path = common.stage(joint.drop("n_beside"), "joint")
+    asked, asked_path = common.stage(joint.select("term").distinct(), "terms")
     total = base.count()
-    known = joint.join(document_counts(docs, terms), "term").join(entities, "entity")
-    chance = F.least(F.col("together") / F.col("n"), F.lit(1.0))
-    scored = known.withColumn("chance", chance).withColumn("bits", F.log2(F.col("chance") * F.lit(float(max(total, 1))) / F.col("n_entity")))
-    return scored.where((F.col("chance") >= MIN_CHANCE) & (F.col("bits") >= MIN_BITS)).select("term", "entity", "chance", "bits")
+    known = joint.join(document_counts(docs, asked, words), "term").join(bounded(frequent), "entity")
+    enough = (F.col("together") >= MIN_CHANCE * F.col("n")) & (evidence(F.col("together"), F.col("n"), F.col("n_entity") / F.lit(float(max(total, 1)))) >= MIN_EVIDENCE)
+    likely, likely_path = common.stage(known.where(enough).select("term", "entity", "together", "n"), "likely")
+    # the neighbours of the terms that are left
+    around = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.get("words", i - 1), F.get("words", i + 1)).alias("context")))
+    stands = read.select("entities", F.explode_outer(F.array_distinct(around)).alias("x")).select("entities", "x.term", "x.context")
+    stands = stands.join(bounded(likely.select("term").distinct()), "term", "left_semi").select("term", "context", F.explode("entities").alias("entity")).distinct()
+    contexts = stands.groupBy("term", "entity").agg(F.count("*").alias("contexts"))
+    out, _ = common.stage(likely.join(contexts.where(F.col("contexts") >= MIN_CONTEXTS), ["term", "entity"]), "disclosing")
+    for path in (frequent_path, holders_path, read_path, joint_path, asked_path, likely_path):
+        common.unstage(spark, path)
+    return out
 
 
 def all_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, email, ip, card, phone, term): the spans of every document."""
     base, _ = common.stage(base_spans(docs), "spans")
-    flagged, _ = common.stage(disclosing(docs, base).select("term").distinct(), "flagged")
+    flagged = disclosing(docs, base).select("term").distinct()
     text = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    holders = occurrences(text, flagged, ["doc_id", "text_hash"]).distinct().groupBy("doc_id", "text_hash").agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms"))  # a document's words at most
+    holders = occurrences(text, flagged, ["doc_id", "text_hash"], words).distinct().groupBy("doc_id", "text_hash").agg(F.array_join(F.sort_array(F.collect_list("term")), "|").alias("terms"))  # a document's words at most
     holders, _ = common.stage(holders, "holders")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.col("terms"), F.lit(r")(?!\p{L})"))
-    same = (F.col("t.text_hash") == F.col("h.text_hash")) & F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))
-    terms = text.alias("t").join(bounded(holders).alias("h"), same).select(F.col("t.doc_id").alias("doc_id"), F.col("t.text_hash").alias("text_hash"), spans(F.col("t.text"), pattern).alias("term")).distinct()
+    terms = text.alias("t").join(bounded(holders).alias("h"), same_row("t", "h")).select(F.col("t.doc_id").alias("doc_id"), F.col("t.text_hash").alias("text_hash"), spans(F.col("t.text"), pattern).alias("term")).distinct()
     terms, _ = common.stage(terms, "term_spans")
-    same = (F.col("b.text_hash") == F.col("h.text_hash")) & F.col("b.doc_id").eqNullSafe(F.col("h.doc_id"))
-    joined = base.alias("b").join(bounded(terms).alias("h"), same, "left")
+    joined = base.alias("b").join(bounded(terms).alias("h"), same_row("b", "h"), "left")
     return joined.select("b.doc_id", "b.text_hash", *(f"b.{k}" for k in KINDS), F.coalesce("h.term", F.array().cast(SPAN)).alias("term"))
 
 
