@@ -23,8 +23,6 @@ is given; rows with a null doc_id or item_id are left out of the pairs, and
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +54,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\r\x0B\f]+"), lambda w: w != "")
 
 
-def window_of(size: int, column: str) -> Callable[[Column], Column]:
-    """The window of the words in ``column`` that begins at a place. (slice() would copy the whole array each time.)"""
-    exact = F.lit(column == "__e")
-    return lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), exact.alias("exact"), F.xxhash64(exact, *(F.get(column, i + k) for k in range(size))).alias("h"))
+def windows_of(size: int, column: str, whole: bool) -> Column:
+    """The hashes of the windows of the words hashed in ``column``, by place. (slice() for each would copy the array each time.)"""
+    n, exact = F.size(column), F.lit(column == "__e")
+    hashes = F.transform(column, lambda h, i: F.xxhash64(exact, h, *(F.get(column, i + k) for k in range(1, size))))
+    if whole and size < WINDOW:  # a short text is one window
+        return F.when(n == size, F.slice(hashes, 1, 1)).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= size, F.slice(hashes, F.lit(1), n - size + 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def word_hashes(column: str) -> Column:
+    """Each word is hashed once, and its windows from the hashes."""
+    return F.transform(column, lambda w: F.xxhash64(w))
 
 
 def windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
@@ -67,19 +73,16 @@ def windows(rows: DataFrame, key: str, sizes: list[int], whole: bool = False) ->
 
     With ``whole``, a text of fewer words than a window is one window of its own.
     """
-    own = rows.where(F.col(key).isNotNull()).select(key, words(templates(F.col("text"))).alias("__w"), words(F.lower(raw(F.col("text")))).alias("__e"))
-    hashed = []
-    for size in sizes:
-        for column in ("__w", "__e"):
-            n = F.size(column)
-            starts = F.when(n >= size, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
-            if whole and size < WINDOW:
-                starts = F.when(n == size, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-            hashed.append(F.transform(starts, window_of(size, column)))
-    spread = own.select(key, F.explode_outer(F.concat(*hashed)).alias("x"), *(["__w"] if whole else []))
-    taken = spread.where("x is not null")
-    extra = [F.slice("__w", F.col("x.pos") + 1, F.col("x.size")).alias("w")] if whole else []
-    return taken.select(key, "x.pos", "x.size", "x.exact", "x.h", *extra)
+    own = rows.where(F.col(key).isNotNull()).select(key, words(templates(F.col("text"))).alias("__w"), words(F.lower(raw(F.col("text")))).alias("__b"))
+    own = own.select(key, "__w", word_hashes("__w").alias("__t"), word_hashes("__b").alias("__e"))
+    kinds = [(size, column) for size in sizes for column in ("__t", "__e")]
+    # plain arrays of numbers, so that nothing is made for a window but its hash until it has matched
+    spread = own.select(key, *(["__w"] if whole else []), F.posexplode(F.array(*(windows_of(*k, whole) for k in kinds))).alias("__k", "__hs"))
+    taken = spread.select(key, *(["__w"] if whole else []), "__k", F.posexplode_outer("__hs").alias("pos", "h")).where("h is not null")
+    known = lambda values: F.get(F.array(*map(F.lit, values)), F.col("__k"))
+    size = known([size for size, _ in kinds])
+    extra = [F.slice("__w", F.col("pos") + 1, size).alias("w")] if whole else []
+    return taken.select(key, "pos", size.alias("size"), known([column == "__e" for _, column in kinds]).alias("exact"), "h", *extra)
 
 
 def bounded(df: DataFrame) -> DataFrame:
