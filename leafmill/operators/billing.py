@@ -120,9 +120,9 @@ def notified(orders: DataFrame, notices: DataFrame) -> DataFrame:
 def rescaled(log: DataFrame, real_average: float) -> DataFrame:
     """The log with positive tokens scaled so that their average becomes the real one."""
     factor = F.lit(real_average) / F.avg(F.when(F.col("tokens") > 0, F.col("tokens")))
-    one = log.agg(factor.alias("f")).first()["f"]  # one number
-    scale = F.lit(float(one)) if one is not None else F.lit(1.0)
-    return log.withColumn("tokens", F.when(F.col("tokens") > 0, F.round(F.col("tokens") * scale)).otherwise(F.col("tokens")))
+    one = log.agg(F.coalesce(factor, F.lit(1.0)).alias("__factor"))  # one row
+    scaled = F.when(F.col("tokens") > 0, F.round(F.col("tokens") * F.col("__factor"))).otherwise(F.col("tokens"))
+    return log.join(F.broadcast(one)).withColumn("tokens", scaled).drop("__factor")
 
 
 def retained(log: DataFrame, keep: list[str], cutoff: str) -> DataFrame:
@@ -178,3 +178,22 @@ def lapsed(users: DataFrame, now: str) -> DataFrame:
     """Users with lapsed subscriptions set back to FREE without an end."""
     over = (F.col("tier") != "FREE") & (F.col("end_day") < F.lit(now).cast("date"))
     return users.select("id", F.when(over, "FREE").otherwise(F.col("tier")).alias("tier"), F.when(over, None).otherwise(F.col("end_day")).alias("end_day"))
+
+
+def settled(orders: DataFrame, attempts: DataFrame) -> DataFrame:
+    """(id, status, winners, audit): orders after attempts (order_id, at, expected, new) to change their status, in order of time.
+
+    An attempt wins if the status is what it expects at its turn, as a
+    compare-and-set would have it; ``audit`` lists the changes, and ``winners`` is their
+    number. Of attempts of one time the smaller status comes first; nulls lose.
+    """
+    listed = attempts.where("order_id is not null and new is not null").groupBy(F.col("order_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("at", "new", "expected"))).alias("tries"))  # one order's attempts
+    begin = F.struct(F.col("status").alias("status"), F.array().cast("array<string>").alias("audit"))
+
+    def turn(state: Column, t: Column) -> Column:
+        wins = F.coalesce(state["status"] == t["expected"], F.lit(False))
+        line = F.concat(state["status"], F.lit("->"), t["new"])
+        return F.struct(F.when(wins, t["new"]).otherwise(state["status"]).alias("status"), F.when(wins, F.concat(state["audit"], F.array(line))).otherwise(state["audit"]).alias("audit"))
+
+    rows = orders.select("id", "status").join(listed, "id", "left").withColumn("end", F.aggregate(F.coalesce("tries", F.array().cast(listed.schema["tries"].dataType)), begin, turn))
+    return rows.select("id", F.col("end.status").alias("status"), F.size("end.audit").cast("long").alias("winners"), F.col("end.audit").alias("audit"))

@@ -50,8 +50,12 @@ def sentences(text: Column) -> Column:
 def content_diff(pairs: DataFrame, key: str, before: str, after: str, most: int = 60) -> DataFrame:
     """(key, removed, added, n_removed, retention): sentences of one side that the other doesn't contain."""
     rows = pairs.select(key, sentences(F.col(before)).alias("a"), sentences(F.col(after)).alias("b"), tx.compact(F.col(before)).alias("ca"), tx.compact(F.col(after)).alias("cb"))
-    gone, new = F.filter("a", lambda s: ~F.contains("cb", s)), F.filter("b", lambda s: ~F.contains("ca", s))
-    rows = rows.select(key, F.size("a").alias("n"), gone.alias("gone"), new.alias("new"))
+    # a sentence that the other side has as one of its own needs no search of that side's whole text
+    of = F.array_except
+    lost, found = of("a", "b"), of("b", "a")
+    rows = rows.select(key, "a", "b", F.filter(lost, lambda s: ~F.contains("cb", s)).alias("lost"), F.filter(found, lambda s: ~F.contains("ca", s)).alias("found"))
+    each = lambda side, kinds: F.when(F.size(kinds) > 0, F.filter(side, lambda s: F.array_contains(kinds, s))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select(key, F.size("a").alias("n"), each("a", "lost").alias("gone"), F.col("found").alias("new"))
     kept = F.when(F.col("n") > 0, F.round(100 * (F.col("n") - F.size("gone")) / F.col("n"))).otherwise(100.0)
     short = lambda c: F.size(F.slice(F.array_distinct(c), 1, most)).cast("long")
     return rows.select(key, short(F.col("gone")).alias("removed"), short(F.col("new")).alias("added"), F.size("gone").cast("long").alias("n_removed"), kept.cast("long").alias("retention"))

@@ -238,8 +238,9 @@ def reminder_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = tables.usage_log(spark, sf_dir).withColumn("old", F.col("tokens"))
     new = billing.rescaled(log, 5000.0)
-    mean = log.agg(F.avg(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("m")).first()["m"]
-    return new.agg(F.count("*").alias("n"), F.count(F.when(F.abs(F.col("tokens") - F.col("old") * (5000.0 / mean)) <= 0.5000001, 1)).alias("near"))
+    mean = log.agg(F.avg(F.when(F.col("tokens") > 0, F.col("tokens"))).alias("mean"))  # one row
+    near = F.abs(F.col("tokens") - F.col("old") * (F.lit(5000.0) / F.col("mean"))) <= 0.5000001
+    return new.join(F.broadcast(mean)).agg(F.count("*").alias("n"), F.count(F.when(near, 1)).alias("near"))
 
 
 @query(f"SELECT id, action, ts FROM {USAGE} WHERE NOT coalesce(ts < TIMESTAMP '2024-01-15' AND action NOT IN ('purchase', 'signup'), false)")
@@ -296,6 +297,17 @@ def refund_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return billing.refunds(o)
 
 
+@query(f"""SELECT id, CASE WHEN won AND id % 2 = 0 THEN 'REFUNDED' ELSE status END AS status, CASE WHEN won THEN 2 ELSE 0 END AS winners, CASE WHEN won THEN ['PAID->REFUNDING', CASE WHEN id % 2 = 0 THEN 'REFUNDING->REFUNDED' ELSE 'REFUNDING->PAID' END] ELSE [] END AS audit
+FROM (SELECT id, status, status = 'PAID' AND id % 3 = 0 AS won FROM {ORDERS})""")
+def settle_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refunds asked for twice at once, of which one wins, and then done or rolled back by the gateway's answer."""
+    o = tables.orders(spark, sf_dir).select("id", "status")
+    answer = "named_struct('at', 2, 'expected', 'REFUNDING', 'new', if(id % 2 = 0, 'REFUNDED', 'PAID'))"
+    asked = "named_struct('at', 1, 'expected', 'PAID', 'new', 'REFUNDING')"
+    tries = o.where("id % 3 = 0").selectExpr("id AS order_id", f"explode(array({answer}, {asked}, {asked})) AS t").select("order_id", "t.*")
+    return billing.settled(o, tries)
+
+
 @query(f"SELECT u.id, CASE WHEN p.user_id IS NULL THEN u.tier ELSE 'PLUS' END AS tier, CASE WHEN p.user_id IS NULL THEN NULL ELSE CAST(DATE '{NOW}' + CAST(30 * p.n AS INTEGER) AS DATE) END AS end_day, CASE WHEN p.user_id IS NULL THEN NULL ELSE DATE '{NOW}' END AS quota_start FROM {USERS} u LEFT JOIN (SELECT user_id, count(*) AS n FROM {ORDERS} WHERE status = 'PAID' GROUP BY 1) p ON p.user_id = u.id")
 def apply_paid_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = tables.users(spark, sf_dir).withColumn("end_day", F.lit(None).cast("date"))
