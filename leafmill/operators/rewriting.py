@@ -77,6 +77,7 @@ def report(pairs: DataFrame, key: str, before: str, after: str, issues: str) ->
 
 #: Characters at the end of the plain text that are searched, and the least text.
 TAIL, LEAST = 5000, 200
+#: Ends of blocks, items with a number in brackets, sentences, empty paragraphs.
 CLOSER = re.compile(r"</(?:h[1-6]|p|li|div)>")
 NUMBERED = re.compile(r"[（(]\s*[0-9]+\s*[）)]\s*([^\n（(]{5,120})")
 SENTENCE = re.compile(r"[^。！？!?\n]{20,150}[。！？!?]")

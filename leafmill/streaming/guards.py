@@ -27,6 +27,7 @@ SCAN, CONTINUATIONS = 500, 5
 KEPT = 12_000
 #: Least input that counts for the guard on lengths, and how many times as long an output may be.
 LEAST_INPUT, LONGEST = 2000, 10
+#: Numbers in brackets, items of lists, bodies of numbered items, sentences.
 NUMBERED = re.compile(r"[（(]\s*[0-9]+\s*[）)]")
 ITEM = re.compile(r"<li\b", re.I)
 BODY = re.compile(r"[（(]\s*[0-9]+\s*[）)]\s*([^\n（）()]{8,100})")
