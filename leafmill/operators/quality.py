@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as tx
 from leafmill.operators import structure
 
+#: The columns of ``structure.counts``, in order.
+COUNTS = ["paragraphs", "headings", "items", "images", "tables", "chars"]
 #: Marks of list items and the like before a sentence.
 BULLET = rf"^(?:{tx.SPACE}|[-*•·]|[0-9]+[.)、])+"
 
@@ -19,8 +21,10 @@ def integrity(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
 
     Each issue is ``type:severity``. Low quality: a critical issue, or under 85 % of the characters kept.
     """
-    rows = pairs.select(key, F.struct(*structure.counts(F.col(before))).alias("i"), F.struct(*structure.counts(F.col(after))).alias("o"))
-    i, o = (lambda c: F.col(f"i.{c}")), (lambda c: F.col(f"o.{c}"))
+    # plain columns: those of a struct would be computed again wherever a rule reads them
+    named = lambda side, prefix: [c.alias(f"{prefix}_{n}") for c, n in zip(structure.counts(F.col(side)), COUNTS)]
+    rows = pairs.select(key, *named(before, "i"), *named(after, "o"))
+    i, o = (lambda c: F.col(f"i_{c}")), (lambda c: F.col(f"o_{c}"))
     share = lambda c, x: F.floor(i(c) * x)
 
     def issue(name: str, bad: Column, critical: Column) -> Column:
