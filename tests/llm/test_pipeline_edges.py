@@ -9,7 +9,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long, scor
 
 def tables(spark, folder, docs):
     spark.createDataFrame(docs, DOCS).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, 1, 0), (4, 1, 0), (5, 1, 0), (6, 1, 0), (2, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, "Which of these metals is liquid at room temperature and has been used in thermometers?"), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
 
 
