@@ -71,3 +71,10 @@ def month_to_date(log: DataFrame, now: str, last: int | None = None) -> DataFram
     rows = log.orderBy(F.col("ts").desc(), F.col("id")).limit(last) if last else log
     start = F.lit(now[:8] + "01").cast("timestamp_ntz")
     return rows.where(F.col("ts") >= start).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("tokens"), F.lit(0.0)), 2).alias("tokens"))
+
+
+def lookup(df: DataFrame, **equal: object) -> DataFrame:
+    """The rows whose columns have given values (null meets null); equality reaches the scan of the table."""
+    for name, value in equal.items():
+        df = df.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return df

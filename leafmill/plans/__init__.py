@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import documents, operations, outlines, rewriting, rules
+from leafmill.plans import documents, layout, operations, outlines, rewriting, rules
 
-PARTS = [operations, documents, rules, outlines, rewriting]
+PARTS = [operations, documents, rules, outlines, rewriting, layout]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
