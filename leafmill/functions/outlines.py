@@ -97,8 +97,10 @@ def images_back(text: Column, images: Column) -> Column:
     """The images in place of their placeholders, also where one stands as the source of an image tag; a placeholder without an image stays."""
     text = F.regexp_replace(text, rf"""(?i)<img\b[^>]*\bsrc=["']({PLACEHOLDER.replace("(", "(?:")})["'][^>]*>""", "$1")
     parts, numbers = F.split(text, PLACEHOLDER), F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1))
-    image = lambda n: F.coalesce(F.get(images, n.try_cast("int")), F.concat(F.lit("__IMG_"), n, F.lit("__")))
-    return F.array_join(F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(F.concat(image(F.get(numbers, i - 1)), x))), "")
+    image = lambda own, n: F.coalesce(F.get(own, n.try_cast("int")), F.concat(F.lit("__IMG_"), n, F.lit("__")))
+    # arrays are bound once and zipped: inside a lambda they would be made anew for each placeholder
+    written = F.flatten(F.transform(F.array(images), lambda own: F.transform(numbers, lambda n: image(own, n))))
+    return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), written), parts, lambda x, rest: F.concat(x, rest)), "")
 
 
 def table_keys(html: Column) -> Column:

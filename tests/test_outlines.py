@@ -70,3 +70,9 @@ def test_refunds_count_uses_of_the_day_and_later(spark):
     log = spark.createDataFrame([(7, "view", at(2, 4)), (7, "view", at(2, 5)), (7, "view", at(2, 6)), (7, "view", at(3, 0)), (7, "click", at(9, 0)), (None, "view", at(9, 0))], "user_id int, action string, ts timestamp_ntz")
     got = {r.id: (r.later_uses, r.refundable) for r in billing.refundable(orders, log, "view").collect()}
     assert got == {1: (3, False), 2: (0, True), 3: (0, True), 5: (0, True), 6: (2, False)}
+
+
+def test_many_placeholders_stay_linear(spark):
+    html = "".join(f'<p>{i}</p><img src="{i}">' for i in range(20_000)) + "__IMG_99999__"
+    taken = spark.createDataFrame([(html,)], "html string").select("html", rules.images_out(F.col("html")).alias("o"))
+    assert taken.select(F.col("html") == rules.images_back(F.col("o.text"), F.col("o.images"))).first()[0]
