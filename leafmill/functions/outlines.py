@@ -99,7 +99,7 @@ def images_back(text: Column, images: Column) -> Column:
     parts, numbers = F.split(text, PLACEHOLDER), F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1))
     image = lambda own, n: F.coalesce(F.get(own, n.try_cast("int")), F.concat(F.lit("__IMG_"), n, F.lit("__")))
     # arrays are bound once and zipped: inside a lambda they would be made anew for each placeholder
-    written = F.flatten(F.transform(F.array(images), lambda own: F.transform(numbers, lambda n: image(own, n))))
+    written = tx.bound(images, lambda own: F.transform(numbers, lambda n: image(own, n)))
     return F.array_join(F.zip_with(F.concat(F.array(F.lit("")), written), parts, lambda x, rest: F.concat(x, rest)), "")
 
 

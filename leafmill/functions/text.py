@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,11 @@ TRAILING = "致谢 致谢辞 acknowledgement acknowledgements acknowledgments".s
 ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'"}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value made once; lambdas in ``use`` would make it anew for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     """Tags become spaces, runs of white space one space, ends are trimmed."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), f"{SPACE}+", " "))

@@ -282,11 +282,12 @@ def settled_images(html: Column, expected: Column) -> Column:
     token = "__IMG_[0-9]+__"
     stray = F.regexp_count(html, F.lit(r"(?i)<img\b[^>]*>"))
     parts, tokens = F.split(html, token, -1), F.regexp_extract_all(html, F.lit(token), F.lit(0))
-    kept = F.transform(tokens, lambda t, i: F.when((F.array_position(tokens, t) == i + 1) | ~F.array_contains(expected, t), t).otherwise(""))
+    stays = lambda every, t, i: (F.array_position(every, t) == i + 1) | ~F.array_contains(expected, t)
+    kept = tx.bound(tokens, lambda every: F.transform(every, lambda t, i: F.when(stays(every, t, i), t).otherwise("")))
     joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(kept, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     missing = F.array_except(expected, tokens)
     tail = F.when(F.size(missing) > 0, F.concat(F.lit(IMAGES_LOST + "<p>"), F.array_join(missing, "</p><p>"), F.lit("</p>"))).otherwise("")
-    twice = F.size(F.filter(expected, lambda e: F.size(F.filter(tokens, lambda t: t == e)) > 1))
+    twice = tx.bound(tokens, lambda every: F.size(F.filter(expected, lambda e: F.size(F.filter(every, lambda t: t == e)) > 1)))
     none = F.coalesce(F.size(expected) == 0, F.lit(True))
     zero = F.lit(0)
     return F.struct(

@@ -118,7 +118,8 @@ def images(pairs: DataFrame, key: str, html: str, expected: str) -> DataFrame:
     parts = F.split(html, token, -1)
     tokens = F.regexp_extract_all(html, F.lit(token), F.lit(0))
     # a placeholder stays where it comes first, if it is expected
-    kept = F.transform(tokens, lambda t, i: F.when((F.array_position(tokens, t) == i + 1) & F.array_contains(F.col(expected), t), t).otherwise(""))
+    stays = lambda every, t, i: (F.array_position(every, t) == i + 1) & F.array_contains(F.col(expected), t)
+    kept = tx.bound(tokens, lambda every: F.transform(every, lambda t, i: F.when(stays(every, t, i), t).otherwise("")))
     joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(kept, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
     missing = F.array_except(F.col(expected), tokens)
     tail = F.when(F.size(missing) > 0, F.concat(F.lit("<p>"), F.array_join(missing, "</p><p>"), F.lit("</p>"))).otherwise("")

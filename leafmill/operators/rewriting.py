@@ -301,12 +301,17 @@ def with_figure_captions(html: Column, before: Column) -> Column:
     """A caption below each image placeholder that has none in the next 600 characters, numbered on from ``before``."""
     parts = F.split(html, f"(?<={PLACEHOLDER.replace('+', '{1,9}')})", -1)
     mark = 'class="figure-caption"'
-    # what follows a placeholder: the later parts, of which 600 characters suffice
-    after = lambda i: F.substring(F.array_join(F.slice(parts, i + 2, F.lit(600)), ""), 1, 600)
-    lacks = F.transform(parts, lambda p, i: (i < F.size(parts) - 1) & ~F.contains(after(i), F.lit(mark)))
-    n_before = lambda i: F.regexp_count(F.array_join(F.slice(parts, F.lit(1), i + 1), ""), F.lit(mark)) + F.size(F.filter(F.slice(lacks, F.lit(1), i + 1), lambda x: x))
-    made = F.transform(parts, lambda p, i: F.when(F.get(lacks, i), F.concat(p, F.lit('\n<div class="figure-caption">Figure '), (before + n_before(i)).cast("string"), F.lit("</div>"))).otherwise(p))
-    return F.array_join(made, "")
+    # each part but the last ends in a placeholder of at least nine characters, so 68 parts hold the next 600
+    after = lambda every, i: F.substring(F.array_join(F.slice(every, i + 2, F.lit(68)), ""), 1, 600)
+    lacks = lambda every, i: (i < F.size(every) - 1) & ~F.contains(after(every, i), F.lit(mark))
+    near = tx.bound(parts, lambda every: F.transform(every, lambda p, i: F.struct(i.alias("at"), p.alias("text"), lacks(every, i).alias("lacks"))))
+    # captions in order, those that stand there as -1 and new ones by their part: a caption's number is its place
+    new = lambda x: F.when(x["lacks"], F.array(x["at"])).otherwise(F.array().cast("array<int>"))
+    captions = F.flatten(F.transform(near, lambda x: F.concat(F.array_repeat(F.lit(-1), F.regexp_count(x["text"], F.lit(mark))), new(x))))
+    written = lambda n: F.concat(F.lit('\n<div class="figure-caption">Figure '), (before + n + 1).cast("string"), F.lit("</div>"))
+    added = F.filter(F.transform(captions, lambda at, n: F.struct(at.alias("at"), written(n).alias("caption"))), lambda c: c["at"] >= 0)
+    others = F.transform(F.filter(near, lambda x: ~x["lacks"]), lambda x: F.struct(x["at"].alias("at"), F.lit("").alias("caption")))
+    return F.array_join(F.zip_with(parts, F.array_sort(F.concat(added, others)), lambda p, c: F.concat(p, c["caption"])), "")
 
 
 # -- official documents ------------------------------------------------------

@@ -1,6 +1,7 @@
 """Checks and repairs of rewritten documents, case by case."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,24 @@ def test_small_ones(spark):
     assert [(r["pos"], r["level"], r["title"]) for r in got] == [(0, 1, "第一章 总则"), (2, 2, "1.2 部分")]
     counts = rw.chunk_counts(spark.createDataFrame([(1, 0, 4), (1, 1, 2), (1, 2, 5), (2, 0, 9)], "doc_id int, chunk_no int, n int"))
     assert sorted((r["doc_id"], r["chunk_no"], r["so_far"]) for r in counts.collect()) == [(1, 0, 0), (1, 1, 4), (1, 2, 6), (2, 0, 0)]
+
+
+def test_figure_captions_against_a_plain_loop(spark):
+    draw, mark = random.Random(5), '<div class="figure-caption">x</div>'
+    texts = []
+    for n in (0, 1, 80, 400):
+        gaps = ["y" * draw.choice([0, 1, 40, 300, 565, 566, 600, 900]) + draw.choice(["", "", mark]) for _ in range(n + 1)]
+        texts.append("".join(f"{gap}__IMG_{draw.randrange(20000)}__" for gap in gaps[:n]) + gaps[n])
+
+    def plain(html, before):
+        out, last = "", 0
+        for m in re.finditer("__IMG_[0-9]+__", html):
+            out += html[last : m.end()]
+            last = m.end()
+            if 'class="figure-caption"' not in html[last : last + 600]:
+                out += f'\n<div class="figure-caption">Figure {before + out.count("figure-caption") + 1}</div>'
+        return out + html[last:]
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, html string")
+    found = [r[0] for r in rows.select("i", rw.with_figure_captions(F.col("html"), F.lit(3)).alias("y")).orderBy("i").select("y").collect()]
+    assert found == [plain(t, 3) for t in texts]
