@@ -7,6 +7,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,22 +30,28 @@ def issue(bad: Column, name: str, severity: str, n: Column) -> Column:
 # -- tables ------------------------------------------------------------------
 
 
-def table_matches(source: Column, output: Column) -> Column:
-    """Whether two tables' keys belong together: equal, one in the other, or a long one's first and last 80 characters in the other."""
-    ends = F.contains(output, F.substring(source, 1, 80)) & F.contains(output, F.right(source, F.lit(80)))
-    within = F.contains(output, source) | F.contains(source, output)
-    return (source != "") & (output != "") & (within | ((F.length(source) >= 160) & ends))
-
-
 def claimed_tables(source: Column, output: Column) -> Column:
-    """For each key of the source the number of the first output key that matches and that no earlier one has taken, or -1."""
+    """For each key of the source the number of the first output key that matches and that no earlier one has taken, or -1; -2 below two characters.
 
-    def step(state: Column, key: Column) -> Column:
-        free = F.transform(output, lambda o, i: F.when(~F.array_contains(state, i) & table_matches(key, o), i))
-        pick = F.when(F.length(key) < 2, F.lit(-2)).otherwise(F.coalesce(F.array_min(free), F.lit(-1)))
-        return F.concat(state, F.array(pick))
+    Keys match that are equal or one in the other, and a long one whose first and last 80 characters are in the other.
+    """
 
-    return F.aggregate(source, F.array().cast("array<int>"), step)
+    def claim(keys: list[str], found: list[str]) -> list[int]:
+        free, out = {i: o for i, o in enumerate(found) if o}, []
+        for key in keys:
+            pick = -2
+            if len(key) >= 2:
+                head, tail = (key[:80], key[-80:]) if len(key) >= 160 else (key, key)
+                pick = next((i for i, o in free.items() if head in o and tail in o or o in key), -1)
+                free.pop(pick, None)
+            out.append(pick)
+        return out
+
+    @F.pandas_udf("array<int>")
+    def picks(sources: pd.Series, outputs: pd.Series) -> pd.Series:
+        return pd.Series([claim(list(a), list(b)) for a, b in zip(sources, outputs)], dtype=object)
+
+    return picks(source, output)
 
 
 def with_missing_tables(pairs: DataFrame, key: str, source: str, output: str) -> DataFrame:
