@@ -12,6 +12,9 @@ from leafmill.operators import structure
 
 #: The columns of ``structure.counts``, in order.
 COUNTS = ["paragraphs", "headings", "items", "images", "tables", "chars"]
+#: A sentence is the last 150 characters, or the 20 and more that there are, before the sign that ends it. Each stretch is met
+#: once, also one that no sign ends (without a group): trying every length at every place took 25 times as long.
+SENTENCE, SENTENCE_CHARS = r"([^。！？!?\n]{20,}+[。！？!?])|[^。！？!?\n]++", 151
 #: Marks of list items and the like before a sentence.
 BULLET = rf"^(?:{tx.SPACE}|[-*•·]|[0-9]+[.)、])+"
 
@@ -97,7 +100,8 @@ def loop_signs(text: Column) -> list[Column]:
     spaced = lambda t: F.regexp_replace(F.regexp_replace(t, "<[^>]+>", " "), f"{tx.SPACE}+", " ")
     trimmed = lambda items: F.transform(items, lambda s: F.trim(s))
     spam = end_of(text, 600, bare).rlike(r"(.{1,6})\1{14,}")
-    found = F.regexp_extract_all(end_of(text, 2500, spaced), F.lit(r"[^。！？!?\n]{20,150}[。！？!?]"), F.lit(0))
+    ended = F.filter(F.regexp_extract_all(end_of(text, 2500, spaced), F.lit(SENTENCE), F.lit(1)), lambda s: s != "")
+    found = F.transform(ended, lambda s: F.right(s, F.lit(SENTENCE_CHARS)))
     again = lambda items: F.exists(items, lambda s: F.size(F.filter(items, lambda t: t == s)) >= 5)
     sentence = once(found, lambda f: F.when(F.size(f) >= 8, once(trimmed(ending(f, 10)), again)).otherwise(False))
     bodies = F.regexp_extract_all(end_of(text, 3000, spaced), F.lit(r"[（(]\s*[0-9]+\s*[）)]\s*([^\n（）()]{8,100})"), F.lit(1))

@@ -19,6 +19,22 @@ def within(seconds, df):
     return rows
 
 
+def test_sentence_signs_take_each_stretch_once(spark):
+    text = F.concat(F.repeat(F.lit("plain words that no sign ends "), 100), F.col("id").cast("string"))
+    found = within(9, quality.repetition(spark.range(0, 1500, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))))
+    assert len(found) == 1500 and not any(r.sentence_loop for r in found)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sentence_signs_are_those_of_every_length(spark, seed):
+    chance = random.Random(seed)
+    texts = ["".join(chance.choice("aab  ！\n") * chance.choice([1, 9, 40]) for _ in range(60)) for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    plain = F.regexp_extract_all("t", F.lit(r"[^。！？!?\n]{20,150}[。！？!?]"), F.lit(0))
+    ended = F.filter(F.regexp_extract_all("t", F.lit(quality.SENTENCE), F.lit(1)), lambda s: s != "")
+    assert all(r.a == r.b for r in df.select(plain.alias("a"), F.transform(ended, lambda s: F.right(s, F.lit(quality.SENTENCE_CHARS))).alias("b")).collect())
+
+
 def test_many_tables(spark):
     table = lambda n: f"<table><tr><td>row {n} of a table</td></tr></table>"
     a, b = "".join(map(table, range(1200))), "".join(table(n) for n in reversed(range(0, 1200, 2)))
