@@ -194,7 +194,8 @@ def missing_headings(titles: Column, output: Column) -> Column:
     norm = lambda t: F.lower(tx.heading_norm(tx.compact(t)))
     found = F.filter(F.transform(inner, norm), lambda n: n != "")
     wanted = F.filter(F.transform(titles, lambda t: F.struct(t.alias("title"), norm(t).alias("norm"))), lambda t: F.length(t["norm"]) >= 3)
-    lost = F.filter(wanted, lambda t: ~F.exists(found, lambda f: F.contains(f, t["norm"]) | F.contains(t["norm"], f)))
+    # bound: inside the lambda the output's headings would be made anew for each title
+    lost = tx.bound(found, lambda own: F.filter(wanted, lambda t: ~F.exists(own, lambda f: F.contains(f, t["norm"]) | F.contains(t["norm"], f))))
     return F.transform(lost, lambda t: t["title"])
 
 
@@ -206,7 +207,7 @@ def checked_chunks(chunks: DataFrame, before: str, after: str, headings: str, ke
     tables = lambda t: F.regexp_count(t, F.lit(r"(?i)<table\b"))
     rows = chunks.select(
         *key, source.alias("s"), output.alias("o"), n_in.alias("n_in"), n_out.alias("n_out"), listed(source).alias("l_in"), listed(output).alias("l_out"),
-        missing_headings(F.col(headings), output).alias("missing_headings"), F.filter(images(source), lambda i: ~F.array_contains(images(output), i)).alias("missing_images"),
+        missing_headings(F.col(headings), output).alias("missing_headings"), tx.bound(images(output), lambda own: F.filter(images(source), lambda i: ~F.array_contains(own, i))).alias("missing_images"),
     )
     when = lambda bad, name: F.when(bad, F.lit(name))
     found = [

@@ -40,3 +40,10 @@ def test_many_tables(spark):
     a, b = "".join(map(table, range(1200))), "".join(table(n) for n in reversed(range(0, 1200, 2)))
     row = within(20, rw.with_missing_tables(spark.createDataFrame([("d", a, b)], "doc_id string, a string, b string"), "doc_id", "a", "b"))[0]
     assert row["issues"][0]["n"] == 600
+
+
+def test_many_headings_of_a_chunk(spark):
+    titles = [f"{n}. Title {n} here" for n in range(900)]
+    html = "".join(f"<h2>{t}</h2>" for t in titles[:-1])
+    df = spark.createDataFrame([(1, html, html, titles)], "id int, s string, o string, h array<string>")
+    assert within(20, rw.checked_chunks(df, "s", "o", "h", ["id"]))[0]["missing_headings"] == [titles[-1]]
