@@ -41,15 +41,24 @@ def source_number(number: Column, scheme: str) -> Column:
 
 def caption(text: Column) -> Column:
     """(kind, number, title, key) of a numbered caption; null for other lines. ``key`` is what titles are compared by."""
-    plain = tx.plain(text)
+    return tx.bound(tx.plain(text), caption_of)
+
+
+def caption_of(plain: Column) -> Column:
+    """``caption`` of plain text."""
     part = lambda i: F.regexp_extract(plain, CAPTION, i)
     number = F.replace(part(2), F.lit("."), F.lit("-"))
-    return F.when(part(1) != "", F.struct(part(1).alias("kind"), number.alias("number"), F.trim(part(3)).alias("title"), caption_key(text).alias("key")))
+    return F.when(part(1) != "", F.struct(part(1).alias("kind"), number.alias("number"), F.trim(part(3)).alias("title"), key_of(plain).alias("key")))
 
 
 def caption_key(text: Column) -> Column:
     """What captions' titles are compared by: letters, digits and ideographs, without the number and bracketed names."""
-    bare = F.regexp_replace(tx.plain(text), r"^[图表]\s*[0-9]+(?:[-.][0-9]+)*[\s\x{3000}、.：:]*", "")
+    return key_of(tx.plain(text))
+
+
+def key_of(plain: Column) -> Column:
+    """``caption_key`` of plain text."""
+    bare = F.regexp_replace(plain, r"^[图表]\s*[0-9]+(?:[-.][0-9]+)*[\s\x{3000}、.：:]*", "")
     return F.lower(F.regexp_replace(F.regexp_replace(bare, BRACKETED, ""), r"[^0-9a-zA-Z\x{4e00}-\x{9fff}]+", ""))
 
 

@@ -8,6 +8,10 @@ the rows together again. One shuffle by the document's key serves all windows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from math import floor
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,7 +224,8 @@ def source_captions(pages: DataFrame, key: str = "doc_id", html: str = "html") -
     """(key, figures, tables): the captions of the source in order, as arrays of (kind, number, title, key, text)."""
     pattern = r"(?is)<(p|div|caption)\b[^>]*>(.*?)</\1>"
     inner = F.regexp_extract_all(html, F.lit(pattern), F.lit(2))
-    parsed = F.filter(F.transform(inner, lambda t: F.struct(rules.caption(t).alias("c"), tx.plain(t).alias("text"))), lambda x: x["c"].isNotNull())
+    # first the texts, then what they say: in one lambda each part of a caption would make its text anew
+    parsed = F.filter(F.transform(F.transform(inner, tx.plain), lambda t: F.struct(rules.caption_of(t).alias("c"), t.alias("text"))), lambda x: x["c"].isNotNull())
     flat = F.transform(parsed, lambda x: F.struct(x["c"]["kind"].alias("kind"), x["c"]["number"].alias("number"), x["c"]["title"].alias("title"), x["c"]["key"].alias("key"), x["text"].alias("text")))
     rows = pages.select(key, flat.alias("all"))
     of_kind = lambda kind: F.filter("all", lambda x: x["kind"] == kind)
@@ -233,17 +238,56 @@ def matched_captions(outputs: Column, expected: Column) -> Column:
     A fold over the expected ones: an output further on loses 0.2 a place, at most 8; of equal ones the first counts.
     """
 
-    def best(cursor: Column, e: Column) -> Column:
-        scored = F.transform(outputs, lambda o, i: F.when(i >= cursor, F.struct((caption_score(o, e) - F.least(F.lit(8.0), (i - cursor) * F.lit(0.2))).alias("score"), (-i).alias("at"))))
-        return F.array_max(scored)
+    @F.pandas_udf("array<int>")
+    def picks(prefixes: pd.Series, keys: pd.Series, own_prefixes: pd.Series, own_keys: pd.Series) -> pd.Series:
+        return pd.Series([fitted(list(zip(a, b)), list(zip(c, d))) for a, b, c, d in zip(prefixes, keys, own_prefixes, own_keys)], dtype=object)
+
+    prefix = lambda of: F.transform(of, lambda c: F.concat(c["kind"], F.lit(" "), c["number"]))
+    key = lambda of: F.transform(of, lambda c: c["key"])
+    return picks(prefix(outputs), key(outputs), prefix(expected), key(expected))
+
 
-    def step(state: Column, e: Column) -> Column:
-        found = F.transform(F.array(best(state["cursor"], e)), lambda b: F.when(b["score"] >= threshold(e), -b["at"]).otherwise(-1))[0]
-        pick = F.transform(F.array(F.coalesce(found, F.lit(-1))), lambda p: F.struct(F.when(p >= 0, p + 1).otherwise(state["cursor"]).alias("cursor"), F.concat(state["picks"], F.array(p)).alias("picks")))
-        return pick[0]
+#: Places from the last match on within which a title may do without an equal number or key: 16 less 0.2 a place is under 10 beyond.
+NEAR = 31
 
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast("array<int>").alias("picks"))
-    return F.aggregate(expected, start, step, lambda state: state["picks"])
+
+def fitted(outputs: list[tuple[str, str]], expected: list[tuple[str, str]]) -> list[int]:
+    """``matched_captions`` of one document, of (kind and number, key) each.
+
+    Further than ``NEAR`` places on only captions of the same number or key can
+    reach the threshold, of the latter the first: no others are looked at there.
+    """
+    by_prefix: dict[str, list[int]] = {}
+    by_key: dict[str, list[int]] = {}
+    for i, (prefix, key) in enumerate(outputs):
+        by_prefix.setdefault(prefix, []).append(i)
+        by_key.setdefault(key, []).append(i)
+    cursor, out = 0, []
+    for prefix, key in expected:
+        same, equal = by_prefix.get(prefix, []), by_key.get(key, [])
+        at = bisect_left(equal, cursor)
+        places = {*range(cursor, min(cursor + NEAR, len(outputs))), *same[bisect_left(same, cursor) :], *equal[at : at + 1]}
+        best, pick = max(((score(outputs[i], (prefix, key), i == cursor) - min(8.0, (i - cursor) * 0.2), -i) for i in places), default=(0.0, 1))
+        out.append(-pick if best >= (14 if key else 10) else -1)
+        cursor = max(cursor, out[-1] + 1)
+    return out
+
+
+def score(candidate: tuple[str, str], expected: tuple[str, str], first: bool) -> int:
+    """``caption_score`` as far as it can reach the threshold: likeness alone does so at the first place only."""
+    ct, et, same = candidate[1], expected[1], candidate[0] == expected[0]
+    if not et or not ct:
+        title = (-8 if et else -6) if ct or et else 16
+    elif ct == et:
+        title = 30
+    elif len(ct) >= 3 and len(et) >= 3 and (et in ct or ct in et):
+        title = 18
+    elif same or first:
+        alike = 1 - tx.distance(ct, et) / max(len(ct), len(et))
+        title = floor(alike * 14 + 0.5) if alike >= 0.72 else 0
+    else:
+        title = 0
+    return 12 * same + title
 
 
 def to_captions(blocks: DataFrame, captions: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -47,3 +47,38 @@ def test_many_headings_of_a_chunk(spark):
     html = "".join(f"<h2>{t}</h2>" for t in titles[:-1])
     df = spark.createDataFrame([(1, html, html, titles)], "id int, s string, o string, h array<string>")
     assert within(20, rw.checked_chunks(df, "s", "o", "h", ["id"]))[0]["missing_headings"] == [titles[-1]]
+
+
+def test_overlap_and_distance_against_plain_loops():
+    chance = random.Random(7)
+    for _ in range(300):
+        a, b = ("".join(chance.choices("ab\0", k=chance.randint(0, 12))) for _ in "ab")
+        ends = [k for k in range(3, min(len(a), len(b)) + 1) if a.endswith(b[:k])]
+        assert tx.overlap(a, b, 3, 10) == max((k for k in ends if k <= 10), default=0)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        assert tx.distance(a, b) == row[-1]
+
+
+def test_many_captions_match_as_scored_by_column(spark):
+    chance = random.Random(3)
+    keys = ["", "alpha beta", "alpha betas", "alpha", "gamma delta of it", "gamma delta on it", "zzz"]
+    make = lambda n: [("图", str(chance.randint(1, 9)), chance.choice(keys)) for _ in range(n)]
+    kind = "array<struct<kind:string,number:string,key:string>>"
+    df = spark.createDataFrame([(i, make(60), make(25)) for i in range(30)], f"i int, o {kind}, e {kind}")
+    scored = F.transform("o", lambda o: F.transform("e", lambda e: blocks.caption_score(o, e)))
+    for r in df.select("o", "e", blocks.matched_captions(F.col("o"), F.col("e")).alias("picks"), scored.alias("s")).collect():
+        cursor, want = 0, []
+        for j, e in enumerate(r.e):
+            best, pick = max(((r.s[i][j] - min(8.0, (i - cursor) * 0.2), -i) for i in range(cursor, 60)), default=(0, 1))
+            want.append(-pick if best >= (14 if e["key"] else 10) else -1)
+            cursor = max(cursor, want[-1] + 1)
+        assert r.picks == want
+
+
+def test_many_captions(spark):
+    row = spark.createDataFrame([(1,)], "id int").selectExpr(*(f"transform(sequence(1, 700), i -> named_struct('kind', '图', 'number', string(i), 'key', {k})) AS {c}" for c, k in (("o", "sha1(string(i))"), ("e", "md5(string(i))"))))
+    assert within(9, row.select(blocks.matched_captions(F.col("o"), F.col("e")).alias("p")))[0]["p"] == [-1] * 700
