@@ -253,22 +253,31 @@ def uncovered_chunks(chunks: DataFrame) -> DataFrame:
     """
     kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        written, out = "", []
-        for i, r in enumerate(rows.sort_values("chunk_no").itertuples()):
-            content = r.content or ""
-            head = squeezed(content).strip()
-            overlap = tx.overlap(unnumbered(written)[-WINDOW:], unnumbered(head)[:WINDOW], 80, WINDOW)
-            coverage = overlap / min(len(head), WINDOW) if head else 0.0
-            heading = first_heading(content)
-            skip = i > 0 and bool(heading) and heading in written.strip()[-5000:] and overlap >= COVERED and coverage >= COVERED_SHARE
-            if not skip:
-                written = re.sub(" +", " ", written + squeezed(r.output or ""))[-4 * WINDOW :]
-            out.append((r.doc_id, r.chunk_no, overlap, coverage, skip))
-        return pd.DataFrame(out, columns=["doc_id", "chunk_no", "overlap", "coverage", "skipped"])
-
-    own = chunks.select("doc_id", "chunk_no", "content", "output")
-    return own.groupBy("doc_id").applyInPandas(fold, f"doc_id {kinds['doc_id']}, chunk_no {kinds['chunk_no']}, overlap int, coverage double, skipped boolean")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, written = object(), ""
+        for batch in batches:
+            out = []
+            for doc_id, chunk_no, content, output in zip(*map(values, batch.columns)):
+                first = doc_id != now
+                if first:
+                    now, written = doc_id, ""
+                content = content or ""
+                head = squeezed(content).strip()
+                overlap = 0 if first else tx.overlap(unnumbered(written)[-WINDOW:], unnumbered(head)[:WINDOW], 80, WINDOW)
+                coverage = overlap / min(len(head), WINDOW) if head else 0.0
+                skip = overlap >= COVERED and coverage >= COVERED_SHARE and bool(heading := first_heading(content)) and heading in written.strip()[-5000:]
+                if not skip:
+                    written = re.sub(" +", " ", written + squeezed(output or ""))[-4 * WINDOW :]
+                out.append((doc_id, chunk_no, overlap, coverage, skip))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [*batch.schema.types[:2], pa.int32(), pa.float64(), pa.bool_()])], ["doc_id", "chunk_no", "overlap", "coverage", "skipped"])
+
+    own = chunks.select("doc_id", "chunk_no", "content", "output").repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no")
+    return own.mapInArrow(fold, f"doc_id {kinds['doc_id']}, chunk_no {kinds['chunk_no']}, overlap int, coverage double, skipped boolean")
+
+
+def values(column: pa.Array) -> Iterator:
+    """A column's values one after the other, so that a batch's texts aren't all held twice."""
+    return (x.as_py() for x in column)
 
 
 def reattached(chunks: DataFrame, chunk_headings: str, level_map: str) -> Column:

@@ -49,6 +49,14 @@ def test_many_headings_of_a_chunk(spark):
     assert within(20, rw.checked_chunks(df, "s", "o", "h", ["id"]))[0]["missing_headings"] == [titles[-1]]
 
 
+def test_folds_over_many_keys(spark):
+    chunks = spark.range(0, 12_000).selectExpr("id AS doc_id", "explode(array(0, 1)) AS chunk_no", "concat('<h2>Part of ', id, '</h2><p>', repeat(sha2(string(id), 256), 20), '</p>') AS content")
+    found = within(10, rw.uncovered_chunks(chunks.withColumn("output", F.col("content"))).groupBy("chunk_no", "skipped").count())
+    assert {(r.chunk_no, r.skipped): r["count"] for r in found} == {(0, False): 12_000, (1, True): 12_000}
+    rows = spark.range(0, 60_000).selectExpr("id % 20000 AS doc_id", "id AS pos", "600 * floor(id / 20000) AS top", "id >= 40000 AS cover", "false AS split")
+    assert [(r.sheet, r.sheets, r["count"]) for r in within(10, rw.sheets(rows, 1000).groupBy("sheet", "sheets").count().orderBy("sheet"))] == [(1, 2, 40_000), (2, 2, 20_000)]
+
+
 def test_overlap_and_distance_against_plain_loops():
     chance = random.Random(7)
     for _ in range(300):
