@@ -414,26 +414,37 @@ def sheets(blocks: DataFrame, usable: float, columns: int = 1, key: str = "doc_i
     """
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema}
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        tops, covers, splits = rows["top"].tolist(), rows["cover"].tolist(), rows["split"].tolist()
-        sheet, held, start, height, out = 1, 0, tops[0], usable, []
-        for i, top in enumerate(tops):
-            if covers[i]:
-                sheet += held > 0
-                out.append(sheet)
-                sheet, held = sheet + 1, 0
-                start = tops[i + 1] if i + 1 < len(tops) else top
-                continue
-            if top - start >= height and held:
-                sheet, held, start = sheet + 1, 0, top
-            held += 1
-            out.append(sheet)
-            height = usable * columns if splits[i] else height
-        return pd.DataFrame({key: rows[key], "pos": rows["pos"], "sheet": out, "sheets": max(out)})
-
-    own = blocks.select(key, "pos", "top", "cover", "split")
-    return own.groupBy(key).applyInPandas(pack, f"{key} {kinds[key]}, pos {kinds['pos']}, sheet int, sheets int")
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, pages = object(), [], []  # the key at hand, the places of its blocks and their pages
+        sheet, held, start, height = 1, 0, None, usable
+        for batch in batches:
+            done = [[], [], [], []]
+            for k, pos, top, cover, split in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now:
+                    for column, part in zip(done, ([now] * len(own), own, pages, [max(pages, default=0)] * len(own))):
+                        column += part
+                    now, own, pages = k, [], []
+                    sheet, held, start, height = 1, 0, None, usable
+                start = top if start is None else start
+                own.append(pos)
+                if cover:
+                    sheet += held > 0
+                    pages.append(sheet)
+                    sheet, held, start = sheet + 1, 0, None  # the next block begins the page
+                    continue
+                if top - start >= height and held:
+                    sheet, held, start = sheet + 1, 0, top
+                held += 1
+                pages.append(sheet)
+                height = usable * columns if split else height
+            kind = [*batch.schema.types[:2], pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(done, kind)], [key, "pos", "sheet", "sheets"])
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([now] * len(own), own, pages, [max(pages)] * len(own)), kind)], [key, "pos", "sheet", "sheets"])
+
+    # sorted rows are walked as they come: a frame of pandas for each key took most of the time
+    own = blocks.select(key, "pos", "top", "cover", "split").repartition(key).sortWithinPartitions(key, "pos")
+    return own.mapInArrow(pack, f"{key} {kinds[key]}, pos {kinds['pos']}, sheet int, sheets int")
 
 
 def paragraphs_as_headings(rows: DataFrame, patterns: list[tuple[str, int]], key: str = "doc_id") -> DataFrame:
