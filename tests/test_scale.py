@@ -71,6 +71,14 @@ def test_overlap_and_distance_against_plain_loops():
         assert tx.distance(a, b) == row[-1]
 
 
+def test_many_similar_headings(spark):
+    outline = [f"{'xyz'[n % 3]} heading {n:04d} of a long outline" for n in range(700)]
+    found = [t.replace("outline", "outlines") for t in reversed(outline)]
+    df = spark.createDataFrame([(1, outline, found), (2, ["a" * 20], ["a" * 17 + "bbb"])], "doc_id int, outline array<string>, found array<string>")
+    got = {r.doc_id: r.matches for r in within(60, documents.aligned(df))}
+    assert got[1] == list(reversed(range(700))) and got[2] == [0]  # three edits in twenty are just enough
+
+
 def test_many_captions_match_as_scored_by_column(spark):
     chance = random.Random(3)
     keys = ["", "alpha beta", "alpha betas", "alpha", "gamma delta of it", "gamma delta on it", "zzz"]
