@@ -79,6 +79,11 @@ def test_many_similar_headings(spark):
     assert got[1] == list(reversed(range(700))) and got[2] == [0]  # three edits in twenty are just enough
 
 
+def test_many_tags_without_openers(spark):
+    df = spark.createDataFrame([("<li>" * 20_000 + "</b>" * 20_000,)], "html string")
+    assert within(4, documents.repaired(df).select(F.length("html").alias("n")))[0]["n"] == 20_000 * 9
+
+
 def test_many_captions_match_as_scored_by_column(spark):
     chance = random.Random(3)
     keys = ["", "alpha beta", "alpha betas", "alpha", "gamma delta of it", "gamma delta on it", "zzz"]
