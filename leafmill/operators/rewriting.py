@@ -341,11 +341,16 @@ HEADER_BLOCK = r"(?is)<(p|div|h[1-6])\b([^>]*)>(.*?)</\1>"
 def official_classes(html: Column) -> Column:
     """Paragraphs and headings of an official document's header get the class that their text shows."""
     parts, whole = F.split(html, HEADER_BLOCK, -1), F.regexp_extract_all(html, F.lit(HEADER_BLOCK), F.lit(0))
-    titled = html.rlike('class="[^"]*doc-title[^"]*"')
 
-    def classed(block: Column) -> Column:
+    def read(block: Column) -> Column:
         part = lambda i: F.regexp_extract(block, HEADER_BLOCK, i)
-        text, attrs, inner = F.regexp_replace(F.regexp_replace(part(3), "<[^>]+>", ""), rf"^{tx.SPACE}+|{tx.SPACE}+$", ""), part(2), part(3)
+        text = F.regexp_replace(F.regexp_replace(part(3), "<[^>]+>", ""), rf"^{tx.SPACE}+|{tx.SPACE}+$", "")
+        return F.struct(block.alias("block"), part(1).alias("tag"), part(2).alias("attrs"), part(3).alias("inner"), text.alias("text"))
+
+    titled = html.rlike('class="[^"]*doc-title[^"]*"')
+
+    def classed(x: Column) -> Column:
+        block, text, attrs, inner = x["block"], x["text"], x["attrs"], x["inner"]
         short = lambda n, pattern, but=None: (F.length(text) < n) & text.rlike(pattern) & (~text.rlike(but) if but else F.lit(True))
         made = lambda name, tag="p": F.concat(F.lit(f'<{tag} class="{name}">'), inner, F.lit(f"</{tag}>"))
         return (
@@ -355,11 +360,12 @@ def official_classes(html: Column) -> Column:
             .when(short(35, r"[〔【\[][0-9]{4}[〕】\]][0-9]+号"), made("doc-ref-number"))
             .when(short(45, "文件$", "[。，！？]"), made("doc-issuer", "div"))
             .when(short(100, "[:：]$", "[。！？]"), made("doc-addressee"))
-            .when((F.lower(part(1)) == "h1") & ~titled & ~attrs.contains("class="), made("doc-title", "h1"))
+            .when((F.lower(x["tag"]) == "h1") & ~titled & ~attrs.contains("class="), made("doc-title", "h1"))
             .otherwise(block)
         )
 
-    done = F.transform(whole, classed)
+    # each block is read once: in one expression every rule would read it again
+    done = F.transform(F.transform(whole, read), classed)
     return F.array_join(F.flatten(F.zip_with(parts, F.concat(done, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
 
 

@@ -84,6 +84,12 @@ def test_many_tags_without_openers(spark):
     assert within(4, documents.repaired(df).select(F.length("html").alias("n")))[0]["n"] == 20_000 * 9
 
 
+def test_official_headers_are_read_once(spark):
+    html = F.concat(F.repeat(F.lit("<p>" + "<b>x</b> " * 12 + "</p>"), 60), F.col("id").cast("string"))
+    plan = spark.range(1).select(rw.official_classes(html))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 8  # four, written out for both lambdas
+
+
 def test_many_captions_match_as_scored_by_column(spark):
     chance = random.Random(3)
     keys = ["", "alpha beta", "alpha betas", "alpha", "gamma delta of it", "gamma delta on it", "zzz"]
