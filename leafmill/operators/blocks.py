@@ -92,7 +92,8 @@ def one_title(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     line = (F.col("kind") == "paragraph") & F.lag("again").over(order) & F.col("gap").rlike(r"^\s*$") & plain.isin(TYPE_LINES)
     line = F.coalesce(line, F.lit(False))
     return rows.withColumn("line", line).select(
-        key, "pos", F.when(F.col("line"), "").otherwise(F.col("gap")).alias("gap"), "block",
+        # only paragraphs are written as they came; the others' blocks would be sorted and shuffled for nothing
+        key, "pos", F.when(F.col("line"), "").otherwise(F.col("gap")).alias("gap"), F.when(F.col("kind") == "paragraph", F.col("block")).alias("block"),
         F.when(F.coalesce("again", F.lit(False)) | F.col("line"), "gone").otherwise(F.col("kind")).alias("kind"),
         F.when(F.col("later"), 2).otherwise(F.col("level")).alias("level"),
         F.when(F.col("later"), without_class(F.col("attrs"), "doc-title")).otherwise(F.col("attrs")).alias("attrs"),
@@ -161,7 +162,7 @@ def numbered(blocks: DataFrame, scheme: str, figure_relative: bool = False, tabl
     an outline, a caption that has a number keeps it.
     """
     order = Window.partitionBy(key).orderBy("pos")
-    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), lambda *by: Window.partitionBy(key, *by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     again = body_heading() & (F.col("title") != "") & (F.col("norm") == F.col("title"))
     rows = blocks.withColumn("kind", F.when(again, "gone").otherwise(F.col("kind")))
     key_of = F.lower(F.col("norm"))
@@ -169,10 +170,13 @@ def numbered(blocks: DataFrame, scheme: str, figure_relative: bool = False, tabl
     begun = F.coalesce(F.max(chapter).over(before), F.lit(False))
     matter = (key_of.isin(tx.LEADING) & ~begun) | key_of.isin(tx.TRAILING)
     rows = rows.withColumn("matter", body_heading() & matter).withColumn("counts", body_heading() & ~matter)
-    names: list[str] = []
-    for depth in range(1, 6):  # each counter begins anew where one above it counts
-        n = F.count(F.when(F.col("counts") & (F.col("level") == depth + 1), 1)).over(so_far(*names))
-        rows, names = rows.withColumn(f"c{depth}", n), [*names, f"c{depth}"]
+    # all counters go by one order, so that rows are sorted once: those of a document less those where one above counted last
+    nth = lambda flag: F.count(F.when(flag, 1)).over(so_far)
+    since = lambda n, flag: F.col(n) - F.coalesce(F.last(F.when(flag, F.col(n)), ignorenulls=True).over(so_far), F.lit(0))
+    counted = lambda *levels: F.col("counts") & F.col("level").isin(*levels)
+    names = [f"c{depth}" for depth in range(1, 6)]
+    rows = rows.withColumns({c: nth(counted(depth + 1)) for depth, c in enumerate(names, 1)})
+    rows = rows.withColumns({c: since(c, counted(*range(2, depth + 1))) for depth, c in enumerate(names[1:], 2)})
     counters = F.slice(F.array(*names), F.lit(1), F.greatest(F.col("level") - 1, F.lit(1)))
     number = tx.numbered(counters, scheme)
     if keep_source_numbers:
@@ -187,8 +191,11 @@ def numbered(blocks: DataFrame, scheme: str, figure_relative: bool = False, tabl
     rows = rows.withColumn("heading", heading).withColumn("keeps", F.coalesce(F.col("has_outline") & has_number, F.lit(False)))
     rows = rows.withColumn("within", F.col("kind").isin(*KINDS) & ~F.col("keeps") & relative & (F.col("c1") > 0))
     rows = rows.withColumn("overall", F.col("kind").isin(*KINDS) & ~F.col("keeps") & ~F.col("within"))
-    nth = lambda flag, *by: F.count(F.when(F.col(flag), 1)).over(so_far("kind", *by)).cast("string")
-    n = F.when(F.col("within"), F.concat(F.col("c1").cast("string"), F.lit("-"), nth("within", "c1"))).otherwise(nth("overall"))
+    flags = {f"{flag}_{kind}": F.col(flag) & (F.col("kind") == kind) for flag in ("within", "overall") for kind in KINDS}
+    rows = rows.withColumns({name: nth(flag) for name, flag in flags.items()})
+    rows = rows.withColumns({name: since(name, counted(2)) for name in flags if name.startswith("within")})
+    own = lambda flag: F.when(F.col("kind") == "figure", F.col(f"{flag}_figure")).otherwise(F.col(f"{flag}_table")).cast("string")
+    n = F.when(F.col("within"), F.concat(F.col("c1").cast("string"), F.lit("-"), own("within"))).otherwise(own("overall"))
     tag = r"^(\s*(?:<(?:strong|b|span|em)\b[^>]*>\s*)?)"
     title = F.regexp_replace("inner", rf"(?i){tag}[图表]\s*[0-9]+(?:[-.][0-9]+)*[\s\x{{3000}}、.:]*", "$1")
     title = F.when(F.regexp_replace("inner", rf"(?i){tag}", "").startswith(sign), title).otherwise(F.col("inner"))

@@ -109,3 +109,9 @@ def test_many_captions_match_as_scored_by_column(spark):
 def test_many_captions(spark):
     row = spark.createDataFrame([(1,)], "id int").selectExpr(*(f"transform(sequence(1, 700), i -> named_struct('kind', '图', 'number', string(i), 'key', {k})) AS {c}" for c, k in (("o", "sha1(string(i))"), ("e", "md5(string(i))"))))
     assert within(9, row.select(blocks.matched_captions(F.col("o"), F.col("e")).alias("p")))[0]["p"] == [-1] * 700
+
+
+def test_blocks_are_sorted_once(spark):
+    pages = spark.range(1).selectExpr("id AS doc_id", "'<h1>a</h1><h2>b</h2><h3>c</h3>' AS html")
+    plan = blocks.post_processed(pages, "decimal-nested")._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Sort [doc_id") <= 3  # the windows' one and the last join's two
