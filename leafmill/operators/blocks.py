@@ -46,8 +46,8 @@ def split(pages: DataFrame, key: str = "doc_id", html: str = "html") -> DataFram
     return rows.select(key, "pos", "gap", "block", kind.alias("kind"), level.alias("level"), attrs.alias("attrs"), inner.alias("inner"))
 
 
-def splice(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, html): the documents again; a row whose ``kind`` is ``gone`` leaves its gap."""
+def splice(blocks: DataFrame, key: str = "doc_id", *carried: str) -> DataFrame:
+    """(key, html, carried): the documents again; a row whose ``kind`` is ``gone`` leaves its gap. ``carried`` columns are one value a document."""
     level = F.col("level").cast("string")
     made = (
         F.when(F.col("kind") == "heading", F.concat(F.lit("<h"), level, "attrs", F.lit(">"), "inner", F.lit("</h"), level, F.lit(">")))
@@ -58,7 +58,7 @@ def splice(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("pos", F.concat("gap", made).alias("text"))))
     # a null document has one row, whose null text the join would leave out
     text = F.when(F.count("gap") > 0, F.array_join(F.transform(parts, lambda x: x["text"]), ""))
-    return blocks.groupBy(key).agg(text.alias("html"))
+    return blocks.groupBy(key).agg(text.alias("html"), *(F.first(c).alias(c) for c in carried))
 
 
 def has_class(attrs: Column, name: str) -> Column:
@@ -239,31 +239,44 @@ def source_captions(pages: DataFrame, key: str = "doc_id", html: str = "html") -
     return rows.select(key, *(of_kind(kind).alias(f"{name}s") for name, kind in KINDS.items()))
 
 
-def matched_captions(outputs: Column, expected: Column) -> Column:
+def matched_captions(outputs: Column, expected: Column, by_output: bool = False) -> Column:
     """For each expected caption the number of the output that fits it best from behind the last match on, or -1.
 
     A fold over the expected ones: an output further on loses 0.2 a place, at most 8; of equal ones the first counts.
+    ``by_output`` gives for each output the number of the expected one that it fits, or -1.
     """
 
     @F.pandas_udf("array<int>")
     def picks(prefixes: pd.Series, keys: pd.Series, own_prefixes: pd.Series, own_keys: pd.Series) -> pd.Series:
-        return pd.Series([fitted(list(zip(a, b)), list(zip(c, d))) for a, b, c, d in zip(prefixes, keys, own_prefixes, own_keys)], dtype=object)
+        found = [(len(a), fitted(list(zip(a, b)), list(zip(c, d)))) for a, b, c, d in zip(prefixes, keys, own_prefixes, own_keys)]
+        return pd.Series([turned(own, n) if by_output else own for n, own in found], dtype=object)
 
     prefix = lambda of: F.transform(of, lambda c: F.concat(c["kind"], F.lit(" "), c["number"]))
     key = lambda of: F.transform(of, lambda c: c["key"])
     return picks(prefix(outputs), key(outputs), prefix(expected), key(expected))
 
 
-#: Places from the last match on within which a title may do without an equal number or key: 16 less 0.2 a place is under 10 beyond.
-NEAR = 31
+def turned(picks: list[int], n: int) -> list[int]:
+    """For each of ``n`` outputs the number of the pick that names it, or -1."""
+    out = [-1] * n
+    for i, at in enumerate(picks):
+        if at >= 0:
+            out[at] = i
+    return out
+
+
+#: Places from the last match on within which a title may do without an equal number or key: 18 less 0.2 a place is under 14 beyond.
+NEAR = 21
 
 
 def fitted(outputs: list[tuple[str, str]], expected: list[tuple[str, str]]) -> list[int]:
     """``matched_captions`` of one document, of (kind and number, key) each.
 
-    Further than ``NEAR`` places on only captions of the same number or key can
-    reach the threshold, of the latter the first: no others are looked at there.
+    Only captions of the same number or key, of the latter the first, can reach the
+    threshold anywhere; within ``NEAR`` places those that hold the title or are in
+    it; and the next one: no others are looked at.
     """
+    keys = [key for _, key in outputs]
     by_prefix: dict[str, list[int]] = {}
     by_key: dict[str, list[int]] = {}
     for i, (prefix, key) in enumerate(outputs):
@@ -273,7 +286,9 @@ def fitted(outputs: list[tuple[str, str]], expected: list[tuple[str, str]]) -> l
     for prefix, key in expected:
         same, equal = by_prefix.get(prefix, []), by_key.get(key, [])
         at = bisect_left(equal, cursor)
-        places = {*range(cursor, min(cursor + NEAR, len(outputs))), *same[bisect_left(same, cursor) :], *equal[at : at + 1]}
+        places = {*range(cursor, min(cursor + 1, len(outputs))), *same[bisect_left(same, cursor) :], *equal[at : at + 1]}
+        if key:
+            places.update(i for i, k in enumerate(keys[cursor : cursor + NEAR], cursor) if key in k or k in key)
         best, pick = max(((score(outputs[i], (prefix, key), i == cursor) - min(8.0, (i - cursor) * 0.2), -i) for i in places), default=(0.0, 1))
         out.append(-pick if best >= (14 if key else 10) else -1)
         cursor = max(cursor, out[-1] + 1)
@@ -289,7 +304,7 @@ def score(candidate: tuple[str, str], expected: tuple[str, str], first: bool) ->
         title = 30
     elif len(ct) >= 3 and len(et) >= 3 and (et in ct or ct in et):
         title = 18
-    elif same or first:
+    elif same or first and akin(ct, et, max(len(ct), len(et)) // 28):  # without the same number, only 27 of 28 parts alike give 14
         alike = 1 - tx.distance(ct, et) / max(len(ct), len(et))
         title = floor(alike * 14 + 0.5) if alike >= 0.72 else 0
     else:
@@ -297,35 +312,44 @@ def score(candidate: tuple[str, str], expected: tuple[str, str], first: bool) ->
     return 12 * same + title
 
 
-def to_captions(blocks: DataFrame, captions: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Captions of the source's text where they match the source's, gone where they don't; (rows, (key, pruned, missing)).
+def akin(a: str, b: str, n: int) -> bool:
+    """Whether two texts may be ``n`` edits apart: of n + 1 pieces of the one, one at least is then in the other."""
+    size = len(a) // (n + 1)
+    return abs(len(a) - len(b)) <= n and any(a[i * size : (i + 1) * size] in b for i in range(n + 1))
+
 
-    Documents whose source has no captions stay as they are.
+def to_captions(blocks: DataFrame, captions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Captions of the source's text where they match the source's, gone where they don't; with ``caption`` (pruned, missing).
+
+    Documents whose source has no captions stay as they are, their ``caption`` is null. A document's rows are gathered,
+    matched and laid out again: joined by their places, rows and captions would be made anew for each join.
     """
-    known = captions.where((F.size("figures") > 0) | (F.size("tables") > 0))
     parsed = rules.caption(F.col("inner"))
     other = F.struct(F.lit("").alias("kind"), F.lit("").alias("number"), F.lit("").alias("title"), rules.caption_key(F.col("inner")).alias("key"))
-    rows = blocks.withColumn("c", F.when(F.col("kind").isin(*KINDS), F.coalesce(parsed, other)))
-    of = lambda name: F.array_sort(F.collect_list(F.when(F.col("kind") == name, F.struct("pos", F.col("c"))))).alias(name)
-    per_doc = rows.groupBy(key).agg(*map(of, KINDS)).join(known, key)
-    picks = {name: matched_captions(F.transform(name, lambda o: o["c"]), F.col(f"{name}s")) for name in KINDS}
-    per_doc = per_doc.withColumns({f"{name}_picks": p for name, p in picks.items()})
-
-
-    def pairs(name: str) -> Column:
-        """The place of each matched output and the text of its caption."""
-        zipped = F.arrays_zip(F.col(f"{name}_picks").alias("at"), F.col(f"{name}s").alias("e"))
-        return F.transform(zipped, lambda x: F.struct(F.get(F.col(name), x["at"])["pos"].alias("pos"), x["e"]["text"].alias("text")))
-
-    chosen = per_doc.select(key, F.explode(F.concat(*map(pairs, KINDS))).alias("m")).where("m.pos is not null").select(key, "m.pos", F.col("m.text").alias("expected"))
-    missing = sum((F.size(F.filter(f"{name}_picks", lambda p: p < 0)) for name in KINDS), F.lit(0))
-    total = sum((F.size(name) for name in KINDS), F.lit(0))
-    matched = sum((F.size(F.filter(f"{name}_picks", lambda p: p >= 0)) for name in KINDS), F.lit(0))
-    counted = per_doc.select(key, (total - matched).alias("pruned"), missing.alias("missing"))
-    joined = rows.join(known.select(key, F.lit(True).alias("has_captions")), key, "left").join(chosen, [key, "pos"], "left")
-    gone = F.col("kind").isin(*KINDS) & F.col("has_captions") & F.col("expected").isNull()
-    joined = joined.withColumn("kind", F.when(F.coalesce(gone, F.lit(False)), "gone").otherwise(F.col("kind")))
-    return joined.withColumn("inner", F.coalesce("expected", "inner")).select(blocks.columns), counted
+    is_caption = F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))
+    own = [c for c in blocks.columns if c != key]
+    # captions are written from their parts, so that their blocks needn't be gathered
+    fields = {c: F.when(~is_caption, F.col(c)) if c == "block" else F.col(c) for c in ["pos", *own]} | {"c": F.when(is_caption, F.coalesce(parsed, other))}
+    rows = F.array_sort(F.collect_list(F.struct(*(x.alias(c) for c, x in fields.items()))))
+    per_doc = blocks.groupBy(key).agg(rows.alias("rows")).join(captions, key, "left")
+    per_doc = per_doc.withColumns({f"{name}s": F.coalesce(f"{name}s", F.array()) for name in KINDS} | {name: F.filter("rows", lambda r: r["kind"] == name) for name in KINDS})
+    per_doc = per_doc.withColumns({f"{name}_picks": matched_captions(F.transform(name, lambda r: r["c"]), F.col(f"{name}s"), by_output=True) for name in KINDS})
+    total = lambda of: sum((F.size(of(name)) for name in KINDS), F.lit(0))
+    matched = total(lambda name: F.filter(f"{name}_picks", lambda p: p >= 0))
+    known = total(lambda name: F.col(f"{name}s")) > 0
+    counted = F.when(known, F.struct((total(F.col) - matched).alias("pruned"), (total(lambda name: F.col(f"{name}s")) - matched).alias("missing")))
+
+    def placed(name: str) -> Column:
+        """Each caption of the output and the text of that of the source, null if none fits."""
+        zipped = F.arrays_zip(F.col(name).alias("row"), F.col(f"{name}_picks").alias("at"))
+        return F.transform(zipped, lambda x: F.struct(x["row"].alias("row"), F.get(f"{name}s", x["at"])["text"].alias("expected")))
+
+    others = F.transform(F.filter("rows", lambda r: r["c"].isNull()), lambda r: F.struct(r.alias("row"), F.lit(None).cast("string").alias("expected")))
+    # outer, so that no filter makes the array a second time: no document is without rows
+    done = per_doc.select(key, counted.alias("caption"), F.explode_outer(F.concat(others, *map(placed, KINDS))).alias("x"))
+    gone = F.col("caption").isNotNull() & F.col("x.row.c").isNotNull() & F.col("x.expected").isNull()
+    changed = {"kind": F.when(gone, "gone").otherwise(F.col("x.row.kind")), "inner": F.coalesce("x.expected", "x.row.inner")}
+    return done.select(key, *(changed.get(c, F.col(f"x.row.{c}")).alias(c) for c in own), "caption")
 
 
 def settled_images(html: Column, expected: Column) -> Column:
@@ -368,11 +392,10 @@ def post_processed(
         rows = promoted(rows, captions, key)
     rows = numbered(rows, scheme, figure_relative, table_relative, keep_source_numbers, key)
     if captions is not None:
-        rows, found = to_captions(rows, captions, key)
-        counts.append(found.select(key, F.struct("pruned", "missing").alias("caption")))
+        rows = to_captions(rows, captions, key)
         issues.append(issue(F.col("caption.pruned") > 0, "caption_pruned", F.lit("info"), F.col("caption.pruned")))
         issues.append(issue(F.col("caption.missing") > 0, "caption_missing", F.lit("warning"), F.col("caption.missing")))
-    done = splice(rows, key)
+    done = splice(rows, key, *(["caption"] if captions is not None else []))
     for more in counts:
         done = done.join(more, key, "left")
     wanted = pages.select(key, (F.col(images) if images else F.array().cast("array<string>")).alias("expected"))

@@ -115,3 +115,53 @@ def test_blocks_are_sorted_once(spark):
     pages = spark.range(1).selectExpr("id AS doc_id", "'<h1>a</h1><h2>b</h2><h3>c</h3>' AS html")
     plan = blocks.post_processed(pages, "decimal-nested")._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[0].count("Sort [doc_id") <= 3  # the windows' one and the last join's two
+
+
+def test_captions_are_settled_in_one_pass(spark):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["caption_reconcile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2 and plan.count("Exchange hashpartitioning") <= 3  # the second scan and exchange are the first's again
+
+
+def test_few_captions_are_scored(monkeypatch):
+    calls = []
+    score = blocks.score
+    monkeypatch.setattr(blocks, "score", lambda *x: calls.append(1) or score(*x))
+    chance = random.Random(4)
+    make = lambda: [(f"图 {i}", "".join(chance.choice("abcdefgh") for _ in range(40))) for i in range(500)]
+    assert blocks.fitted(make(), make()).count(-1) == 500 and len(calls) <= 1000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_captions_that_are_alike_match_as_by_a_plain_loop(seed):
+    chance = random.Random(seed)
+    base = ["".join(chance.choice("abc") for _ in range(n)) for n in (0, 2, 20, 27, 28, 29, 56, 84, 90)]
+
+    def make(n):
+        out = []
+        for _ in range(n):
+            key = list(chance.choice(base))
+            for _ in range(chance.randint(0, 4) if key else 0):
+                at = chance.randrange(len(key) + 1)
+                key[at : at + chance.randint(0, 1)] = chance.choice(["", "a", "b", "z"])
+            out.append((f"图 {chance.randint(1, 12)}", "".join(key)))
+        return out
+
+    def plain(candidate, expected):
+        a, b, same = candidate[1], expected[1], 12 * (candidate[0] == expected[0])
+        if not b or not a:
+            return same + ((-8 if b else -6) if a or b else 16)
+        if a == b or len(a) >= 3 and len(b) >= 3 and (a in b or b in a):
+            return same + (30 if a == b else 18)
+        alike = 1 - tx.distance(a, b) / max(len(a), len(b))
+        return same + (int(alike * 14 + 0.5) if alike >= 0.72 else 0)
+
+    for _ in range(40):
+        outputs, expected, cursor, want = make(50), make(30), 0, []
+        for e in expected:
+            best, pick = max(((plain(o, e) - min(8.0, i * 0.2), -i) for i, o in enumerate(outputs[cursor:])), default=(0, 0))
+            want.append(cursor - pick if best >= (14 if e[1] else 10) else -1)
+            cursor = max(cursor, want[-1] + 1)
+        assert blocks.fitted(outputs, expected) == want
+        assert [(i, at) for i, at in enumerate(want) if at >= 0] == [(i, at) for at, i in enumerate(blocks.turned(want, 50)) if i >= 0]
